@@ -64,3 +64,12 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op2_html_extraction, op4_chat_formatting, op9_language_id, op10_packing)}
 ORACLE: dict[str, str] = {}
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES[op5_quality_rules.__name__] = op5_quality_rules
