@@ -75,7 +75,7 @@ def rolling(h: np.ndarray, width: int) -> np.ndarray:
     _, q = powers(len(h))
     x = h[width:] - h[:n]
     x *= q[:n]
-    x += U64(width) * U64(0xD6E8FEB86659FD93)
+    x += U64(width * 0xD6E8FEB86659FD93 % (1 << 64))
     return mix(x)
 
 

@@ -73,3 +73,18 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES[op5_quality_rules.__name__] = op5_quality_rules
+
+
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix
+
+    return suffix.dedup(table(spark, sf_dir, "documents"))
+
+
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring
+
+    return substring.dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES |= {f.__name__: f for f in (op1_suffix_array_dedup, op7_substring_dedup)}
