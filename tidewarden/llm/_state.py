@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """An eager reliable checkpoint in ``spark.checkpoint.dir``; only where that is unset, in a folder of our own."""
+    """An eager reliable checkpoint in ``spark.checkpoint.dir``; only where that is unset, in a folder of our own.
+
+    What was cut off is then dropped, so that its shuffle files can go.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    out = df.checkpoint()
+    gc.collect()
+    sc._jvm.System.gc()
+    return out

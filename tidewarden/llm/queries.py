@@ -88,3 +88,12 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {f.__name__: f for f in (op1_suffix_array_dedup, op7_substring_dedup)}
+
+
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import minhash
+
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES[op3_minhash_near_dedup.__name__] = op3_minhash_near_dedup
