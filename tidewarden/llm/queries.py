@@ -97,3 +97,12 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES[op3_minhash_near_dedup.__name__] = op3_minhash_near_dedup
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    return decontam.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES[op8_benchmark_decontamination.__name__] = op8_benchmark_decontamination
