@@ -106,3 +106,15 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 QUERIES[op8_benchmark_decontamination.__name__] = op8_benchmark_decontamination
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lines
+
+    return lines.dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES[op6_line_dedup.__name__] = op6_line_dedup
+
+
+QUERIES[pipeline.__name__] = pipeline
