@@ -266,7 +266,8 @@ def repeats(docs: DataFrame, scheme: Scheme, finish, out_schema: str, id_col: st
     ``finish(block, read, rows, starts, counts)`` yields record batches; its
     findings are runs of window starts, possibly overlapping.
     """
-    ids = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # no column but these two, so that all steps read one and the same exchange
+    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # rows of one id are told apart by r, in order of their texts
     own = ids.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
     anchors = own.select("doc_id", "r", "text").mapInArrow(_anchor_rows(scheme, hot), ROW)
@@ -292,7 +293,7 @@ def repeats(docs: DataFrame, scheme: Scheme, finish, out_schema: str, id_col: st
             buf, off = V.buffer(V.col(block, "text"))
             yield from finish(block, buf, off, rows, starts, counts)
 
-    return both.join(found, "doc_id", "left").select("id", "r", "text", "asks", "found").mapInArrow(run, out_schema)
+    return both.join(found, "doc_id", "left").select(F.nullif("doc_id", F.lit(LAST)).alias("id"), "r", "text", "asks", "found").mapInArrow(run, out_schema)
 
 
 def cover(total: int, at: np.ndarray, size: np.ndarray) -> np.ndarray:
