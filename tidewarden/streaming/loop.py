@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import admins, changes, coastlines, elements, issues, overlay
+from ..operators._state import cut
 from ..sources.state import Snapshots
 
 PAYLOAD = ("lat", "lon", "nodes", "members", "tags")
@@ -82,13 +83,14 @@ class Engine:
         s = self.snapshots
         if (s.version() or 0) >= batch:
             return False
-        merged = changes.merge(batch_changes).select("etype", "id", "deleted", "version", *PAYLOAD)
+        # small tables that many steps read are made once
+        merged = cut(changes.merge(batch_changes).select("etype", "id", "deleted", "version", *PAYLOAD))
         tables = {x: s.table(x) for x in ("state", "coast", "areas", "node_way", "way_relation", "node_relation", "tracked")}
         state = overlay.upsert(tables["state"], merged)
         e = self.elements(state)
         rel = changes.changed_relations(merged, tables["node_way"], tables["way_relation"], tables["node_relation"], tables["tracked"])
-        rel = rel.unionByName(merged.where("etype = 'R'").select("id")).distinct()
-        way = changes.changed_coastlines(merged, tables["node_way"], tables["coast"])
+        rel = cut(rel.unionByName(merged.where("etype = 'R'").select("id")).distinct())
+        way = cut(changes.changed_coastlines(merged, tables["node_way"], tables["coast"]))
         coast = self.coast.incremental(e, tables["coast"], way)
         areas = self.admins.incremental(e, tables["areas"], rel)
         # edges only grow: those of what changed are added
