@@ -118,6 +118,9 @@ def _anchor_rows(scheme: Scheme, hot: int):
             row, anchor, seg, a, n = scheme.anchors(scheme.read(buf, off))
             if not len(row):
                 continue
+            if ((doc[1:] < doc[:-1]) | ((doc[1:] == doc[:-1]) & (r[1:] < r[:-1]))).any():
+                order = np.lexsort((a, r[row], doc[row]))
+                row, anchor, seg, a, n = row[order], anchor[order], seg[order], a[order], n[order]
             both = V.mix(anchor * V.U64(0x9E3779B97F4A7C15) ^ seg)
             _, first, inverse = np.unique(both, return_index=True, return_inverse=True)
             lead = first[inverse]
@@ -204,7 +207,7 @@ def _details(scheme: Scheme):
                 rows, starts = np.repeat(row[k], n[k]), V.ragged(a[k], n[k])
                 name = np.repeat(anchor[k], n[k])
                 key = V.mix(scheme.windows(read, rows, starts) ^ name.view(V.U64))
-                order = np.lexsort((starts, rows))
+                order = np.lexsort((starts, r[rows], doc[rows]))  # rows of a join come in any order
                 rows, starts, name, key = rows[order], starts[order], name[order], key[order]
                 _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
                 lead = first[inverse]
