@@ -185,7 +185,7 @@ def latent_space(encoded: DataFrame, bench: Benchmark, size: int = 64, rank: int
     return (idf[:, None] * v).astype(np.float32)
 
 
-def search(encoded: DataFrame, bench: Benchmark, vectors: np.ndarray, windows: tuple[tuple[int, int], ...] = ((64, 16), (24, 8)), cosine: float = 0.45, share: float = 0.7, part: float = 0.5, answer: float = 0.8, short: int = 8) -> DataFrame:
+def search(encoded: DataFrame, bench: Benchmark, vectors: np.ndarray, windows: tuple[tuple[int, int], ...] = ((64, 32), (24, 12)), cosine: float = 0.45, share: float = 0.7, part: float = 0.5, answer: float = 0.8, short: int = 8) -> DataFrame:
     """Per document the best item that it holds, if any: whether it is kept, the item, the share of it found and where."""
     items = [s for _, s in bench.items]
     ids = [i for i, _ in bench.items]
@@ -194,6 +194,7 @@ def search(encoded: DataFrame, bench: Benchmark, vectors: np.ndarray, windows: t
     targets = targets / np.maximum(norms, 1e-12)[:, None]
     lists = [s.tolist() for s in items]
     sets = [set(s) for s in lists]
+    heavy = (vectors != 0).any(axis=1)
     blind = [k for k in range(len(items)) if norms[k] < 1e-6]  # no word of weight: compared with every passage
 
     def check(words: np.ndarray, k: int, lo: int, hi: int) -> tuple[float, int]:
@@ -237,7 +238,7 @@ def search(encoded: DataFrame, bench: Benchmark, vectors: np.ndarray, windows: t
                 words, rows = raw.view(np.uint16), off // 2
                 best: dict[int, tuple[float, int, int]] = {}
                 if len(items) and len(words):
-                    k = np.flatnonzero(np.abs(vectors).max(axis=1)[words] > 0) if len(vectors) else np.empty(0, np.int64)
+                    k = np.flatnonzero(heavy[words])
                     cum = np.zeros((len(k) + 1, vectors.shape[1]), np.float32)
                     np.cumsum(vectors[words[k]], axis=0, out=cum[1:])
                     count = np.diff(rows)
