@@ -189,7 +189,10 @@ def extract(page: str | None, w: dict[str, float]) -> str:
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_pages: int = 2000) -> dict[str, float]:
     """Weights from the labelled pages among the ``fit_pages`` of smallest id (a documented bound)."""
-    sample = pages.where(F.col(html_col).rlike("(?i)<(article|main)[\\s>]")).select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).orderBy("page_id", "html").limit(fit_pages)
+    labelled = pages.where(F.col(html_col).rlike("(?i)<(article|main)[\\s>]"))
+    # only ids are ordered; the pages of the bounded number that is left are fetched by them
+    ids = labelled.select(F.col(id_col).alias("page_id")).orderBy("page_id").limit(fit_pages).distinct()
+    sample = labelled.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).join(F.broadcast(ids), "page_id", "left_semi")
 
     def count(batches):
         counts = {True: Counter(), False: Counter()}
