@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from collections import deque
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ class ChunkEncoder:
     character, which is in the same chunk; so chunks can be encoded apart.
     """
 
-    def __init__(self, tokenizer_path: str, keep: int = 400_000):
+    def __init__(self, tokenizer_path: str, keep: int = 600_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -92,11 +93,11 @@ class ChunkEncoder:
             flat = np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum()))
             base = len(self.ids)
             self.ids = np.concatenate([self.ids, flat])
-            all_keys = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(all_keys)
-            self.keys = all_keys[order]
-            self.starts = np.concatenate([self.starts, base + np.cumsum(sizes) - sizes])[order]
-            self.sizes = np.concatenate([self.sizes, sizes])[order]
+            # both are sorted, so the new ones are put in their places
+            place = np.searchsorted(self.keys, keys[new])
+            self.keys = np.insert(self.keys, place, keys[new])
+            self.starts = np.insert(self.starts, place, base + np.cumsum(sizes) - sizes)
+            self.sizes = np.insert(self.sizes, place, sizes)
             at = np.searchsorted(self.keys, keys)
         where = at[inverse]
         sizes = self.sizes[where]
@@ -105,6 +106,12 @@ class ChunkEncoder:
         return out, ends[rows]
 
 
+@cache
+def encoder(tokenizer_path: str) -> ChunkEncoder:
+    """One for a Python worker, so that later tasks there find what earlier ones encoded."""
+    return ChunkEncoder(tokenizer_path)
+
+
 class Packer:
     """Packs pieces into windows; ``rows`` collects what is placed."""
 
@@ -204,7 +211,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         from pyspark import TaskContext
 
         context_ = TaskContext.get()
-        encode = ChunkEncoder(tokenizer_path)
+        encode = encoder(tokenizer_path)
         packer = Packer(context, tiers, (context_.partitionId() if context_ else 0) << 32, group_tokens)
 
         def out(rows):
