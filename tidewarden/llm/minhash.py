@@ -37,6 +37,10 @@ from ._state import checkpoint
 PLACES, CHUNKS = 128, 26
 #: Distance up to which all pairs meet.
 FAR = 2 * CHUNKS - 1
+#: Distance up to which a nearest neighbour is tried before all pairs: most links are within it.
+NEAR = 38
+#: First place of each chunk.
+STARTS = np.array([x[0] for x in np.array_split(np.arange(PLACES), CHUNKS)])
 
 
 @cache
@@ -80,15 +84,28 @@ def signatures(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def chunk_keys(sig: np.ndarray) -> np.ndarray:
-    """By signature, a 64-bit key for each chunk and wildcard place."""
+    """By signature, a 64-bit key for each wildcard place, over the other places of its chunk; its low bits name the place."""
     out = []
-    for c, part in enumerate(np.array_split(np.arange(PLACES), CHUNKS)):
-        value = V.mix(sig[:, part].astype(V.U64) + (np.arange(len(part), dtype=V.U64) + V.U64(c * 64)) * V.U64(1 << 20))
+    for part in np.array_split(np.arange(PLACES), CHUNKS):
+        value = V.mix(sig[:, part].astype(V.U64) + part.astype(V.U64) * V.U64(1 << 20))
         total = value.sum(axis=1, dtype=V.U64)
-        out += [V.mix(total - value[:, w] + V.U64((c * 64 + w) * 0x9E3779B97F4A7C15 % (1 << 64))) for w in range(len(part))]
+        for k, w in enumerate(part.tolist()):
+            key = V.mix(total - value[:, k] + V.U64((w + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+            out.append(key & V.U64(~(PLACES - 1) & (1 << 64) - 1) | V.U64(w))
     return np.stack(out, axis=1)
 
 
+def meeting_place(differ: np.ndarray) -> np.ndarray:
+    """For rows of places in which two signatures differ, the one wildcard place whose bucket answers for the pair:
+    in the first chunk with one difference at most, that difference, or the first place where there is none."""
+    few = np.add.reduceat(differ.astype(np.uint8), STARTS, axis=1) <= 1
+    lo = STARTS[few.argmax(axis=1)]
+    hi = np.append(STARTS, PLACES)[few.argmax(axis=1) + 1]
+    at = np.arange(PLACES)
+    own = differ & (at >= lo[:, None]) & (at < hi[:, None])
+    return np.where(own.any(axis=1), own.argmax(axis=1), lo)
+
+
 def _sign(size: int):
     def run(batches):
         for block in V.blocks(batches, "text"):
@@ -170,8 +187,22 @@ def _mixed(block: int):
     return run
 
 
+def _sets(size: int):
+    """Sets of shingles, each cut to 32 bits."""
+
+    def run(batches):
+        for block in V.blocks(batches, "text"):
+            hashes, rows = shingles(*V.buffer(V.col(block, "text")), size)
+            low = (hashes >> V.U64(32)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([V.col(block, "id"), pa.array([low[x:y].tobytes() for x, y in zip(rows[:-1], rows[1:], strict=True)], pa.binary())], ["node", "shingles"])
+
+    return run
+
+
 def _near(share: int):
-    """Pairs of different components within the signature distance, by bucket (or pair of blocks)."""
+    """Pairs of different components within the signature distance whose sets, cut to 32 bits, are alike enough.
+
+    Each pair is looked at in one bucket only (see ``meeting_place``), and only likely links leave the task."""
 
     def run(batches):
         for b in whole_groups(batches, ("key", "pair")):
@@ -179,9 +210,13 @@ def _near(share: int):
                 continue
             key, pair, second, cross, node, comp, n = (V.col(b, c).to_numpy(zero_copy_only=False) for c in ("key", "pair", "second", "cross", "node", "comp", "n_shingles"))
             sig = np.frombuffer(b"".join(V.col(b, "sig").to_pylist()), np.uint16).reshape(-1, PLACES)
+            raw, off = V.buffer(V.col(b, "shingles"))
+            elements, off = raw.view(np.uint32), off // 4
             edge = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))), len(key))
             us, vs = [], []
             for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                names = None
+                place = int(key[lo]) & (PLACES - 1)
                 for i in range(lo, hi):
                     if cross[i] and second[i]:
                         continue
@@ -191,14 +226,64 @@ def _near(share: int):
                         ok &= second[j]
                     ok &= (100 * n[j] >= share * n[i]) & (100 * n[i] >= share * n[j])
                     j = j[ok]
-                    if len(j):
-                        j = j[(sig[j] != sig[i]).sum(axis=1) <= FAR]
-                        us.append(np.full(len(j), node[i]))
-                        vs.append(node[j])
+                    if not len(j):
+                        continue
+                    differ = sig[j] != sig[i]
+                    near = differ.sum(axis=1) <= FAR
+                    near[near] = meeting_place(differ[near]) == place
+                    j = j[near]
+                    if not len(j):
+                        continue
+                    if names is None:
+                        distinct, names = np.unique(elements[off[lo] : off[hi]], return_inverse=True)
+                        base = off[lo]
+                    mark = np.zeros(len(distinct), np.int64)
+                    mark[names[off[i] - base : off[i + 1] - base]] = 1
+                    size = off[j + 1] - off[j]
+                    same = np.add.reduceat(mark[names[V.ragged(off[j] - base, size)]], np.cumsum(size) - size)
+                    j = j[100 * same >= share * (n[i] + n[j] - same)]
+                    us.append(np.maximum(node[j], node[i]))
+                    vs.append(np.minimum(node[j], node[i]))
             if us:
-                u, v = np.concatenate(us), np.concatenate(vs)
-                both = np.unique(np.stack([np.maximum(u, v), np.minimum(u, v)], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+    return run
+
+
+def _nearest(share: int):
+    """Of each node, the nearest one of another component, if near, among those not looked at before."""
+
+    def run(batches):
+        for b in whole_groups(batches, ("key", "pair")):
+            if not b.num_rows:
+                continue
+            key, pair, second, cross, node, comp, n = (V.col(b, c).to_numpy(zero_copy_only=False) for c in ("key", "pair", "second", "cross", "node", "comp", "n_shingles"))
+            sig = np.frombuffer(b"".join(V.col(b, "sig").to_pylist()), np.uint16).reshape(-1, PLACES)
+            seen = V.col(b, "seen").to_pylist()
+            edge = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]))), len(key))
+            best: dict[int, tuple[int, int]] = {}
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                for i in range(lo, hi):
+                    j = np.arange(lo, hi)
+                    ok = (comp[j] != comp[i]) & (100 * n[j] >= share * n[i]) & (100 * n[i] >= share * n[j])
+                    if cross[i]:
+                        ok &= second[j] != second[i]
+                    for x in seen[i] or ():
+                        ok &= node[j] != x
+                    j = j[ok]
+                    if not len(j):
+                        continue
+                    differ = sig[j] != sig[i]
+                    d = differ.sum(axis=1)
+                    own = d <= NEAR
+                    own[own] = meeting_place(differ[own]) == int(key[lo]) & (PLACES - 1)  # each pair in one bucket only
+                    j, d = j[own], d[own]
+                    if len(j):
+                        k = int(np.argmin(d))  # the least node of those as near
+                        u = int(node[i])
+                        if (int(d[k]), int(node[j[k]])) < best.get(u, (FAR + 1, 0)):
+                            best[u] = (int(d[k]), int(node[j[k]]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array([x[0] for x in best.values()], pa.int64()), pa.array([x[1] for x in best.values()], pa.int64())], ["u", "far", "v"])
 
     return run
 
@@ -238,11 +323,12 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("id", F.xxhash64("doc_id", "text") if doubtful else F.col("doc_id"))
 
 
-def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: int = 75, block: int = 1024) -> DataFrame:
+def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: int = 75, block: int = 1024, rounds: int = 1) -> DataFrame:
     """doc_id, id, n_shingles, component_id and kept of every row.
 
     ``share`` is the similarity in percent, ``block`` the most rows of a bucket
-    that are compared in one piece.
+    that are compared in one piece, ``rounds`` how often nearest neighbours are
+    tried before all pairs that are left.
     """
     rows = identified(docs, id_col, text_col)
     signed = checkpoint(rows.select("id", "text").mapInArrow(_sign(size), "id long, n_shingles long, cls long, sig binary"))
@@ -255,12 +341,33 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     texts = rows.select("id", "text").join(wanted.withColumnRenamed("node", "id"), "id", "left_semi").dropDuplicates(["id"])
     texts = checkpoint(texts.withColumn("text", F.encode("text", "utf-8")))
     links = checkpoint(_confirmed(stars.select(F.col("node").alias("u"), F.col("lead").alias("v")), texts, size, share))
-    first = checkpoint(components(links))
-    # buckets that still hold several components
-    state = buckets.select("key", "node").join(first, "node", "left").join(stars, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"), F.coalesce("lead", F.lit(-(1 << 63))).alias("tested"))
-    mixed = state.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_mixed(block), "key long, pair long, second boolean, cross boolean, node long, comp long")
-    near = mixed.join(classes.select("node", "sig", "n_shingles"), "node").repartition("key", "pair").sortWithinPartitions("key", "pair", "node").mapInArrow(_near(share), "u long, v long").distinct()
-    near = checkpoint(near.join(stars.select(F.col("node").alias("u"), F.col("lead").alias("v")), ["u", "v"], "left_anti"))
+    comps = checkpoint(components(links))
+    tried = stars.select("node", F.array("lead").alias("seen"))
+
+    def mixed() -> DataFrame:
+        """Rows of the buckets that still hold several components."""
+        state = buckets.select("key", "node").join(comps, "node", "left").join(stars, "node", "left").select("key", "node", F.coalesce("component", "node").alias("comp"), F.coalesce("lead", F.lit(-(1 << 63))).alias("tested"))
+        rows = state.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_mixed(block), "key long, pair long, second boolean, cross boolean, node long, comp long")
+        return checkpoint(rows)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.join(classes.select("node", "sig", "n_shingles"), "node").repartition("key", "pair").sortWithinPartitions("key", "pair", "node")
+
+    # each node's nearest one of another component, a few times: this finds the common source of a group of copies
+    for _ in range(rounds):
+        pairs = dealt(mixed().join(tried, "node", "left")).mapInArrow(_nearest(share), "u long, far long, v long").groupBy("u").agg(F.min(F.struct("far", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
+        pairs = checkpoint(pairs)
+        if pairs.isEmpty():
+            break
+        links = checkpoint(links.unionByName(_confirmed(pairs, texts, size, share)).distinct())
+        comps = checkpoint(components(links))
+        tried = checkpoint(tried.unionByName(pairs.select(F.col("u").alias("node"), F.array("v").alias("seen"))).groupBy("node").agg(F.flatten(F.collect_list("seen")).alias("seen")))
+    # whatever is left: all pairs of different components within the distance
+    rows_left = mixed()
+    sets = texts.join(rows_left.select(F.col("node").alias("id")).distinct(), "id", "left_semi").mapInArrow(_sets(size), "node long, shingles binary")
+    near = dealt(rows_left.join(sets, "node")).mapInArrow(_near(share), "u long, v long").distinct()
+    gone = tried.select("node", F.explode("seen").alias("x")).select(F.greatest("node", "x").alias("u"), F.least("node", "x").alias("v"))
+    near = checkpoint(near.join(gone, ["u", "v"], "left_anti"))
     more = _confirmed(near, texts, size, share)
     final = checkpoint(components(links.unionByName(more)))
     # classes to components, then the least doc_id of each
@@ -279,5 +386,5 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """One row of each group, that of least id, and all rows of no group, with all their columns."""
-    gone = cluster(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti")
+    gone = cluster(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias("gone_id_")).distinct()
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("gone_id_")), "left_anti")
