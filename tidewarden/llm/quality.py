@@ -184,9 +184,15 @@ def estimate(stats: DataFrame, h: float = 0.75, steps: int = 4, min_cell: int =
     return params, cells
 
 
-def judged(stats: DataFrame, params: DataFrame, cells: DataFrame, h: float = 0.75, tail: float = 1e-9) -> DataFrame:
-    """Adds q_distance (squared) and q_kept."""
-    both = stats.join(cells, ["q_lang", "q_source"], "left").join(params, "cell", "left")
+def judged(stats: DataFrame, params: DataFrame, cells: DataFrame, h: float = 0.75, tail: float = 1e-9, most_broadcast: int = 20_000) -> DataFrame:
+    """Adds q_distance (squared) and q_kept.
+
+    Parameters of up to ``most_broadcast`` languages and sources (a few MB) are
+    broadcast, so that texts needn't move; more are joined by shuffle."""
+    known = cells.join(params, "cell", "left")
+    if cells.count() <= most_broadcast:
+        known = F.broadcast(known)
+    both = stats.join(known, ["q_lang", "q_source"], "left")
     d = _distance() / consistency(h)
     out = both.withColumn("q_distance", d)
     keep = F.coalesce(F.col("q_distance") <= chi2_quantile(1 - tail, DIMS), F.lit(True))
