@@ -9,6 +9,11 @@ is compared with all benchmark items by cosine in that space; candidates are
 checked by the longest common subsequence of their words with the item, and
 where that is partial, by that of the item's last third, its answer.
 
+What the space misses (its rank is bounded, and words that planted copies make
+frequent carry no weight) is found by an exact bound: a copy may lack so many
+words of an item and no more, so of the rarest words one beyond that number
+occurs in it, of those two beyond two, and so on (``probes``).
+
 What is gathered on the driver has the size of the benchmark's vocabulary times
 the rank, both bounded by parameters.
 
@@ -21,6 +26,7 @@ or, by ``keep_clean``, kept.
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -125,6 +131,61 @@ def _document_frequency(encoded: DataFrame, n: int, size: int) -> tuple[np.ndarr
     return df, int(df[0])
 
 
+def probes(bench: Benchmark, df: np.ndarray, share: float, part: float, answer: float, short: int, hits: int = 3) -> list[tuple[int, np.ndarray, int, int]]:
+    """Item, words, hits and span: any copy that ``search`` accepts has so many of the words within the span.
+
+    A share of the whole item, or of its last third, its answer, has to be there; so of its
+    rarest words, as many as may be missing and ``hits`` more, at least ``hits`` are."""
+    out = []
+    for k, (_, s) in enumerate(bench.items):
+        m = len(s)
+        if m < short:  # these occur as a whole
+            rarest = s[np.argsort(df[s], kind="stable")[:hits]]
+            out.append((k, np.unique(rarest), len(rarest), m))
+            continue
+        tail = s[-max(1, m // 3) :]
+        for x, least in ((s, share), (tail, answer)) if part < share else ((s, share),):
+            need = max(1, math.ceil(least * len(x) - 1e-9))
+            j = min(hits, need)
+            rarest = x[np.argsort(df[x], kind="stable")[: len(x) - need + j]]
+            out.append((k, np.unique(rarest), j, m + m // 2))
+    return out
+
+
+class _Probing:
+    """Places of probes in blocks of documents, by an index from words to probes."""
+
+    def __init__(self, found: list[tuple[int, np.ndarray, int, int]], n: int):
+        word = np.concatenate([x[1] for x in found]) if found else np.empty(0, np.int64)
+        probe = np.repeat(np.arange(len(found)), [len(x[1]) for x in found])
+        self.count = np.bincount(word, minlength=n + 1)
+        self.start = np.concatenate([[0], np.cumsum(self.count)])
+        self.probe = probe[np.argsort(word, kind="stable")]
+        self.item, self.need, self.span = (np.array([x[c] for x in found], np.int64) for c in (0, 2, 3))
+
+    def places(self, words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Row, item, first and last word (in the row) of what may be a copy; places that overlap are one."""
+        at = np.flatnonzero(self.count[words])
+        each = self.count[words[at]]
+        q = self.probe[V.ragged(self.start[words[at]], each)]
+        p = np.repeat(at, each)
+        order = np.argsort(q, kind="stable")
+        q, p = q[order], p[order]
+        r = np.searchsorted(rows, p, "right") - 1
+        i = np.flatnonzero(np.arange(len(q)) + self.need[q] <= len(q))
+        e = i + self.need[q[i]] - 1
+        near = (q[e] == q[i]) & (r[e] == r[i]) & (p[e] - p[i] < self.span[q[i]])
+        i, e = i[near], e[near]
+        item, row, lo, hi, span = self.item[q[i]], r[i], p[i], p[e], self.span[q[i]]
+        order = np.lexsort((lo, item, row))
+        item, row, lo, hi, span = item[order], row[order], lo[order], hi[order], span[order]
+        new = np.ones(len(lo), dtype=bool)
+        new[1:] = (item[1:] != item[:-1]) | (row[1:] != row[:-1]) | (lo[1:] - lo[:-1] >= span[1:])
+        at = np.flatnonzero(new)
+        last = np.maximum.reduceat(hi, at) if len(at) else hi
+        return row[at], item[at], lo[at] - rows[row[at]], last - rows[row[at]]
+
+
 def _gram_times(encoded: DataFrame, basis: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
     """A'A times a basis, A being all disjoint passages' TF-IDF vectors: summed in tasks, then by slices of rows."""
     n, rank = basis.shape
@@ -164,10 +225,10 @@ def _gram_times(encoded: DataFrame, basis: np.ndarray, weight: np.ndarray, size:
     return np.concatenate([parts[k].reshape(-1, rank) for k in sorted(parts)]) if parts else np.zeros((n, rank))
 
 
-def latent_space(encoded: DataFrame, bench: Benchmark, size: int = 64, rank: int = 224, max_df: float = 0.005, rarest: int = 6, seed: int = 7) -> np.ndarray:
+def latent_space(encoded: DataFrame, bench: Benchmark, size: int = 64, rank: int = 224, max_df: float = 0.005, rarest: int = 6, seed: int = 7, counted: tuple[np.ndarray, int] | None = None) -> np.ndarray:
     """Word vectors: IDF weight times right singular vector; row 0 is zero."""
     n = len(bench.vocab)
-    df, total = _document_frequency(encoded, n, size)
+    df, total = counted or _document_frequency(encoded, n, size)
     idf = np.log((1 + total) / (1 + df))
     idf[0] = 0.0
     # words of more than this part of passages carry no weight, but for the rarest of each item
@@ -185,8 +246,10 @@ def latent_space(encoded: DataFrame, bench: Benchmark, size: int = 64, rank: int
     return (idf[:, None] * v).astype(np.float32)
 
 
-def search(encoded: DataFrame, bench: Benchmark, vectors: np.ndarray, windows: tuple[tuple[int, int], ...] = ((64, 32), (24, 12)), cosine: float = 0.45, share: float = 0.7, part: float = 0.5, answer: float = 0.8, short: int = 8) -> DataFrame:
-    """Per document the best item that it holds, if any: whether it is kept, the item, the share of it found and where."""
+def search(encoded: DataFrame, bench: Benchmark, vectors: np.ndarray, windows: tuple[tuple[int, int], ...] = ((64, 32), (24, 12)), cosine: float = 0.45, share: float = 0.7, part: float = 0.5, answer: float = 0.8, short: int = 8, df: np.ndarray | None = None) -> DataFrame:
+    """Per document the best item that it holds, if any: whether it is kept, the item, the share of it found and where.
+
+    ``df``, how frequent each word is, makes the exact search cheap; what it finds doesn't depend on it."""
     items = [s for _, s in bench.items]
     ids = [i for i, _ in bench.items]
     targets = np.stack([vectors[s].sum(axis=0) for s in items]) if items else np.zeros((0, vectors.shape[1]), np.float32)
@@ -195,7 +258,7 @@ def search(encoded: DataFrame, bench: Benchmark, vectors: np.ndarray, windows: t
     lists = [s.tolist() for s in items]
     sets = [set(s) for s in lists]
     heavy = (vectors != 0).any(axis=1)
-    blind = [k for k in range(len(items)) if norms[k] < 1e-6]  # no word of weight: compared with every passage
+    probing = _Probing(probes(bench, np.zeros(len(bench.vocab) + 1) if df is None else df, share, part, answer, short), len(bench.vocab))
 
     def check(words: np.ndarray, k: int, lo: int, hi: int) -> tuple[float, int]:
         """Share of the item in the passage, widened by the item's length."""
@@ -210,8 +273,11 @@ def search(encoded: DataFrame, bench: Benchmark, vectors: np.ndarray, windows: t
         if sum(1 for x in region if x in own) < part * m:  # a subsequence can't be longer than what both have
             return 0.0, -1
         best, at = 0.0, -1
+        held = [0, *accumulate(x in own for x in region)]
         for a in range(0, max(1, len(region) - m), max(1, m // 4)):
             x = region[a : a + m + m // 2]
+            if held[a + len(x)] - held[a] < part * m:
+                continue
             s = lcs(item, x) / m
             if s < share and s >= part:
                 tail = item[-max(1, m // 3) :]
@@ -260,7 +326,11 @@ def search(encoded: DataFrame, bench: Benchmark, vectors: np.ndarray, windows: t
                             x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
                             w, t = np.nonzero(x @ targets.T >= cosine)
                             tried(best, words, rows, row, lo, hi, zip(part_[w].tolist(), t.tolist(), strict=True))
-                        tried(best, words, rows, row, lo, hi, ((i, t) for t in blind for i in range(len(row))))
+                    row, item, lo, hi = probing.places(words, rows)
+                    # a copy around its first or last hit begins or ends at most its span away
+                    length = np.array([len(s) for s in items])[item]
+                    lo, hi = np.maximum(0, lo - length), np.minimum(hi + length + 1, count[row])
+                    tried(best, words, rows, row, lo, hi, zip(range(len(row)), item.tolist(), strict=True))
                 got = [best.get(r) for r in range(block.num_rows)]
                 yield pa.RecordBatch.from_arrays(
                     [V.col(block, "doc_id"), V.col(block, "r"), pa.array([g is None for g in got]), pa.array([None if g is None else ids[g[1]] for g in got], pa.int64()), pa.array([0.0 if g is None else g[0] for g in got], pa.float64()), pa.array([None if g is None else g[2] for g in got], pa.int64())],
@@ -285,7 +355,10 @@ def judge(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: s
 def _judge(rows: DataFrame, bench: DataFrame) -> DataFrame:
     b = read_benchmark(bench)
     encoded = checkpoint(encode(rows, b))
-    return search(encoded, b, latent_space(encoded, b) if b.items else np.zeros((1, 1), np.float32))
+    if not b.items:
+        return search(encoded, b, np.zeros((1, 1), np.float32))
+    counted = _document_frequency(encoded, len(b.vocab), 64)
+    return search(encoded, b, latent_space(encoded, b, counted=counted), df=counted[0])
 
 
 def keep_clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
