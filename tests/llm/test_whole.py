@@ -1,5 +1,6 @@
 """Nothing is left out: planted copies and links against brute force."""
 
+import inspect
 import random
 
 from tidewarden.llm import decontam
@@ -23,3 +24,8 @@ def test_decontamination_of_skewed_copies(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items], "item_id long, text string")
     assert {r.doc_id for r in decontam.judge(df, bench).where("not kept").collect()} == leaked
+
+
+def test_decontamination_steps():
+    """Windows overlap by three quarters and two thirds."""
+    assert inspect.signature(decontam.search).parameters["windows"].default == ((64, 16), (24, 8))

@@ -246,7 +246,7 @@ def latent_space(encoded: DataFrame, bench: Benchmark, size: int = 64, rank: int
     return (idf[:, None] * v).astype(np.float32)
 
 
-def search(encoded: DataFrame, bench: Benchmark, vectors: np.ndarray, windows: tuple[tuple[int, int], ...] = ((64, 32), (24, 12)), cosine: float = 0.45, share: float = 0.7, part: float = 0.5, answer: float = 0.8, short: int = 8, df: np.ndarray | None = None) -> DataFrame:
+def search(encoded: DataFrame, bench: Benchmark, vectors: np.ndarray, windows: tuple[tuple[int, int], ...] = ((64, 16), (24, 8)), cosine: float = 0.45, share: float = 0.7, part: float = 0.5, answer: float = 0.8, short: int = 8, df: np.ndarray | None = None) -> DataFrame:
     """Per document the best item that it holds, if any: whether it is kept, the item, the share of it found and where.
 
     ``df``, how frequent each word is, makes the exact search cheap; what it finds doesn't depend on it."""
