@@ -3,7 +3,8 @@
 import inspect
 import random
 
-from tidewarden.llm import decontam
+import corpus_pipeline
+from tidewarden.llm import decontam, lines, queries
 
 
 def test_decontamination_of_skewed_copies(spark):
@@ -29,3 +30,14 @@ def test_decontamination_of_skewed_copies(spark):
 def test_decontamination_steps():
     """Windows overlap by three quarters and two thirds."""
     assert inspect.signature(decontam.search).parameters["windows"].default == ((64, 16), (24, 8))
+
+
+def test_short_lines_go(spark, tmp_path):
+    """The query and the pipeline's stage take exact later copies of lines of any number of words, but not blank ones."""
+    docs = [(1, "Menu\n\nread more\nMenu"), (2, "menu!\n\nread, more\na b c\nnew"), (3, "a b c\n...")]
+    df = spark.createDataFrame([(i, t, len(t)) for i, t in docs], "doc_id long, text string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.removed_lines) for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, "3"), 2: (4, "0,2"), 3: (1, "0")}
+    kept = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, df, str(tmp_path)).collect()}
+    assert kept == {1: "Menu\n\nread more", 2: "\na b c\nnew", 3: "..."}

@@ -111,7 +111,7 @@ QUERIES[op8_benchmark_decontamination.__name__] = op8_benchmark_decontamination
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lines
 
-    return lines.dedup(table(spark, sf_dir, "documents"))
+    return lines.dedup(table(spark, sf_dir, "documents"), min_words=1)
 
 
 QUERIES[op6_line_dedup.__name__] = op6_line_dedup
