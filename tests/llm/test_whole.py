@@ -41,3 +41,45 @@ def test_short_lines_go(spark, tmp_path):
     assert got == {1: (3, "3"), 2: (4, "0,2"), 3: (1, "0")}
     kept = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["line_dedup"](spark, df, str(tmp_path)).collect()}
     assert kept == {1: "Menu\n\nread more", 2: "\na b c\nnew", 3: "..."}
+
+
+def test_lines_against_all_pairs(spark):
+    """Groups of lines linked by edit similarity 0.9 keep their first line only, be they short or long, common or rare."""
+    rnd = random.Random(5)
+    vocab = [f"w{k}" for k in range(60)]
+    texts = []
+    for n in [9, 10, 11, 12, 15, 19, 20, 21, 30, 45, 61, 90, 130] * 4:
+        base = [rnd.choice(vocab) for _ in range(n)]
+        for _ in range(5):
+            x = list(base)
+            for _ in range(rnd.randrange(0, max(2, n // 8))):
+                at = rnd.randrange(len(x))
+                x[at : at + rnd.randrange(2)] = [rnd.choice(vocab)] * rnd.randrange(2)
+            texts.append(" ".join(x))
+    # one common phrase in lines that differ otherwise, more than are compared two by two
+    texts += [" ".join(["w1", "w2", "w3", "w4", "w5", "w6", *(rnd.choice(vocab) for _ in range(8))]) for _ in range(90)]
+    rnd.shuffle(texts)
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    named = {w: chr(0x100 + k) for k, w in enumerate({w for t in texts for w in t.replace("w", "v").split()})}
+    codes = ["".join(named[w] for w in t.replace("w", "v").split()) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if lines.close(codes[i], codes[j], int(max(len(codes[i]), len(codes[j])) * 0.1 + 1e-9)):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    gone = {i for i in range(len(texts)) if find(i) != i}
+    assert 100 < len(gone) < len(texts) - 100
+    letters = str.maketrans("0123456789", "abcdefghij")  # digits are all one in a line
+    df = spark.createDataFrame([(i, t.translate(letters)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    for block in (1024, 16):
+        assert {r.doc_id for r in lines.removed_lines(df, min_words=1, block=block)[0].where("removed").collect()} == gone
+
+
+def test_shared_run():
+    assert [lines.shared_run(n, 0.9) for n in (1, 8, 9, 10, 12, 19, 20, 50)] == [0, 0, 5, 5, 6, 6, 6, 8]

@@ -18,6 +18,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
     out = df.checkpoint()
+    del df
     gc.collect()
     sc._jvm.System.gc()
     return out
