@@ -119,6 +119,13 @@ def overlay_point_lookup(c: Context) -> DataFrame:
     return overlay.lookup(ids, *_tiers(c)).select("id", "found", "name")
 
 
+@query()
+def overlay_lookup_all(c: Context) -> DataFrame:
+    """As overlay_point_lookup, for the ids of all events and users."""
+    ids = c.view("events").select(F.explode(F.array(F.col("event_id").cast("long"), F.col("user_id").cast("long"))).alias("id")).where("id is not null")
+    return overlay.lookup(ids.select(F.lit("N").alias("etype"), "id"), *_tiers(c)).select("id", "found", "name")
+
+
 @query("select id, name, deleted from (select id, name || ' state' as name, id % 15 = 0 as deleted from {v_nodes} where id % 5 = 0 and id % 7 <> 0 union all select id, name || ' batch', id % 21 = 0 from {v_nodes} where id % 7 = 0)")
 def state_upsert(c: Context) -> DataFrame:
     batch, state, _ = _tiers(c)
@@ -206,6 +213,12 @@ def relation_closure(c: Context) -> DataFrame:
     return elements.closure(c.view("v_subrelations"), roots).select("root", "node")
 
 
+@query()
+def relation_closure_all(c: Context) -> DataFrame:
+    """As relation_closure, with all relations as roots."""
+    return elements.closure(c.view("v_subrelations"), c.view("customer").select(F.col("c_custkey").alias("id"))).select("root", "node")
+
+
 _CENTRE = """select r.rel_id, case when k.n is null then 'Missing admin_centre role' when k.n > 1 then 'Too many admin_centre role roles' when k.type <> 'N' then 'admin_centre member is not Node'
  when p.place is null then 'admin_centre node(' || k.ref || ') does not have ''place'' tag.' end as reason from (select distinct rel_id from {v_centres}) r
  left join (select rel_id, count(*) as n, min(type) as type, min(ref) as ref from {v_centres} where role = 'admin_centre' group by rel_id) k on r.rel_id = k.rel_id
