@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import admins, changes, coastlines, elements, issues, overlay
-from ..operators._state import cut
+from ..operators._state import checkpoint, shared_folder
 from ..sources.state import Snapshots
 
 PAYLOAD = ("lat", "lon", "nodes", "members", "tags")
@@ -84,13 +84,13 @@ class Engine:
         if (s.version() or 0) >= batch:
             return False
         # small tables that many steps read are made once
-        merged = cut(changes.merge(batch_changes).select("etype", "id", "deleted", "version", *PAYLOAD))
+        merged = checkpoint(changes.merge(batch_changes).select("etype", "id", "deleted", "version", *PAYLOAD))
         tables = {x: s.table(x) for x in ("state", "coast", "areas", "node_way", "way_relation", "node_relation", "tracked")}
         state = overlay.upsert(tables["state"], merged)
         e = self.elements(state)
         rel = changes.changed_relations(merged, tables["node_way"], tables["way_relation"], tables["node_relation"], tables["tracked"])
-        rel = cut(rel.unionByName(merged.where("etype = 'R'").select("id")).distinct())
-        way = cut(changes.changed_coastlines(merged, tables["node_way"], tables["coast"]))
+        rel = checkpoint(rel.unionByName(merged.where("etype = 'R'").select("id")).distinct())
+        way = checkpoint(changes.changed_coastlines(merged, tables["node_way"], tables["coast"]))
         coast = self.coast.incremental(e, tables["coast"], way)
         areas = self.admins.incremental(e, tables["areas"], rel)
         # edges only grow: those of what changed are added
@@ -112,11 +112,10 @@ def replayed_issues(c) -> DataFrame:
     """Coastline nodes without continuation after a file stream of changes, for a demonstration on test tables.
 
     The changes move ends of coastlines: each modified way gets the next node as its last one."""
-    import tempfile
     import uuid
 
     spark = c.spark
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir()}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     ends = c.view("v_ends").join(c.view("v_ways"), "id").where("natural_tag = 'coastline' and n_nodes >= 2").select("id", "first_node", "last_node")
     snaps = Snapshots(spark, f"{root}/state")
     snaps.commit(0, {"coast": ends})
