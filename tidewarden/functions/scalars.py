@@ -48,6 +48,16 @@ def element_url(kind: Column, ident: Column, base: str = "https://www.openstreet
     return F.concat(F.lit(base + "/"), kind_name(kind), F.lit("/"), ident.cast("string"))
 
 
+def analyzer_url(ident: Column) -> Column:
+    """Page that analyses a relation. A fixed value."""
+    return F.concat(F.lit("http://ra.osmsurround.org/analyzeRelation?relationId="), ident.cast("string"))
+
+
+def editor_url(kind: Column, ident: Column) -> Column:
+    """Asks a local editor to load an element with its members. A fixed value."""
+    return F.concat(F.lit("http://localhost:8111/load_object?new_layer=true&objects="), F.lower(kind), ident.cast("string"), F.lit("&relation_members=true"))
+
+
 def overview_colour(issue_type: Column, n: Column) -> Column:
     return F.when(n == 0, "green").when(issue_type.isin(*BLOCKING_TYPES), "red").otherwise("orange")
 

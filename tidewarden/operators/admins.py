@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from ..functions import filters, scalars
 from . import elements, geometry, spatial
 
-NONE = F.lit
-
-
 def role_reason(members: DataFrame) -> DataFrame:
     """(rel_id, reason) by the first three rules on members (rel_id, pos, type, ref, role); sound ones have a null reason."""
     way = (F.col("type") == "W") & F.col("role").isin("outer", "inner", "")
@@ -123,11 +120,15 @@ def recompute_scope(changed: DataFrame, countries: DataFrame, expected_levels: D
     return old.unionByName(whole).unionByName(touched.select("country_id", "level")).distinct()
 
 
-def within_countries(countries: DataFrame, admins: DataFrame, cell: float = 2.0) -> DataFrame:
-    """(country_id, level, admin_id) of areas that a country contains or overlaps; both have id, rings and a box, areas admin_level."""
+def within_countries(countries: DataFrame, admins: DataFrame, cell: float = 2.0, scope: DataFrame | None = None) -> DataFrame:
+    """(country_id, level, admin_id) of areas that a country contains or overlaps; both have id, rings and a box, areas admin_level.
+
+    ``scope`` (country_id, level) are those that are asked for, else all."""
     box = ["id", "minx", "miny", "maxx", "maxy"]
     pairs = spatial.box_join(countries.select(*box), admins.select(*box, "admin_level"), cell)
     j = pairs.select(F.col("l_id").alias("country_id"), F.col("r_id").alias("admin_id"), F.col("r_admin_level").alias("level"))
+    if scope is not None:
+        j = j.join(scope, ["country_id", "level"], "left_semi")
     j = j.join(countries.select(F.col("id").alias("country_id"), F.col("rings").alias("a")), "country_id").join(admins.select(F.col("id").alias("admin_id"), F.col("rings").alias("b")), "admin_id")
 
     def polys(rings):
@@ -180,8 +181,6 @@ class Admins:
         actual = within_countries(countries, sound).join(wanted, ["country_id", "level"], "left_semi")
         return broken_issues(state).unionByName(state_issues(ctx.expected, actual, valid))
 
-    def incremental(self, ctx, state: DataFrame, affected: DataFrame) -> DataFrame:
-        """New state: affected relations are built anew if they still match, else they go."""
-        ids = affected.select("id").distinct()
-        again = ctx.relations.join(ids, "id", "left_semi").where(filters.ADMINS.scan(F.col("tags")))
-        return state.join(ids, "id", "left_anti").unionByName(self._evaluate(ctx, again))
+    def rebuilt(self, ctx, ids: DataFrame) -> DataFrame:
+        """The areas of the ids, built anew, as far as they still match."""
+        return self._evaluate(ctx, ctx.relations.join(ids, "id", "left_semi").where(filters.ADMINS.scan(F.col("tags"))))

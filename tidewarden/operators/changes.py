@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _ZERO = "named_struct('v', 0, 'tomb', false, 'file_seq', cast(null as bigint), 'sec', cast(null as int), 'pos', cast(null as bigint))"
@@ -66,6 +66,8 @@ def locate(states: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each period and timestamp the sequence whose span [start, end) holds it, else the first that starts after.
 
     ``states`` has period_s, seq, end_ts; ``wanted`` has period_s, ts."""
-    s = states.withColumn("start_ts", F.timestamp_seconds(F.unix_timestamp("end_ts") - F.col("period_s")))
-    later = wanted.join(s, "period_s").where("end_ts > ts")
-    return later.groupBy("period_s", "ts").agg(F.min("seq").alias("seq"))
+    ends = states.select("period_s", F.col("end_ts").alias("ts"), "seq", F.lit(0).alias("q"))
+    asked = wanted.select("period_s", "ts").distinct().select("period_s", "ts", F.lit(None).cast("bigint").alias("seq"), F.lit(1).alias("q"))
+    # from the latest time back: the least sequence whose end lies behind; states are a row a minute, so a period's are sorted together
+    w = Window.partitionBy("period_s").orderBy(F.col("ts").desc(), F.col("q").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    return ends.unionByName(asked).withColumn("seq", F.min("seq").over(w)).where("q = 1 and seq is not null").select("period_s", "ts", "seq")

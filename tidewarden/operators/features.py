@@ -28,10 +28,12 @@ def tag_issues(features: DataFrame, actual: DataFrame) -> DataFrame:
     return gone.unionByName(e.withColumn("details", text).where("details is not null").select(*head, "details"))
 
 
-def update(state: DataFrame, features: DataFrame, changed: DataFrame) -> DataFrame:
-    """Issues as keyed state: those of changed elements are replaced by what holds now, which may be none."""
-    keys = changed.select(F.col("etype").alias("osm_type"), F.col("id").alias("osm_id")).distinct()
-    return state.join(keys, ["osm_type", "osm_id"], "left_anti").unionByName(tag_issues(features, changed))
+def unique(features: DataFrame, keys: tuple[str, ...] = ("osm_type", "osm_id")) -> DataFrame:
+    """The features, or an error if two have the same element."""
+    twice = features.groupBy(*keys).count().where("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError("listed twice: " + " ".join(str(twice[0][k]) for k in keys))
+    return features
 
 
 def name_issues(elements: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,8 +14,9 @@ def with_cells(boxes: DataFrame, cell: float) -> DataFrame:
     return boxes.withColumn("cx", F.explode(span("minx", "maxx"))).withColumn("cy", F.explode(span("miny", "maxy")))
 
 
-def box_join(left: DataFrame, right: DataFrame, cell: float, on: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs whose boxes meet; columns of the left get the prefix l_, of the right r_. ``on`` must be equal too.
+def box_join(left: DataFrame, right: DataFrame, cell: float, on: tuple[str, ...] = (), before: str | None = None) -> DataFrame:
+    """Pairs whose boxes meet; columns of the left get the prefix l_, of the right r_. ``on`` must be equal too,
+    and the left's ``before`` less than the right's.
 
     A pair is made only in the cell of the corner that both boxes share, so
     nothing has to be made distinct."""
@@ -23,7 +26,13 @@ def box_join(left: DataFrame, right: DataFrame, cell: float, on: tuple[str, ...]
     cond = [a.cx == b.cx, a.cy == b.cy, *[a[f"l_{c}"] == b[f"r_{c}"] for c in on]]
     meet = (F.col("l_minx") <= F.col("r_maxx")) & (F.col("r_minx") <= F.col("l_maxx")) & (F.col("l_miny") <= F.col("r_maxy")) & (F.col("r_miny") <= F.col("l_maxy"))
     home = (a.cx == F.floor(F.greatest("l_minx", "r_minx") / cell)) & (a.cy == F.floor(F.greatest("l_miny", "r_miny") / cell))
-    return a.join(b, cond).where(meet & home).drop("cx", "cy")
+    if before:
+        cond.append(a[f"l_{before}"] < b[f"r_{before}"])
+    # the work is in pairs of rows: partitions that are small by their bytes must not be merged
+    spark = left.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    keys = ["cx", "cy"]
+    return a.repartition(n, *keys, *[f"l_{c}" for c in on]).join(b.repartition(n, *keys, *[f"r_{c}" for c in on]), cond).where(meet & home).drop("cx", "cy")
 
 
 def side(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
@@ -51,20 +60,88 @@ def proper_crossings(a: DataFrame, b: DataFrame, cell: float) -> DataFrame:
     return p.where((o1 * o2 < 0) & (o3 * o4 < 0))
 
 
+def grid_segments(lines: DataFrame, scale: int) -> DataFrame:
+    """Segments of (id, coords) on an integer grid, with their boxes and their line's ends; a closed line has none.
+
+    Products of two differences fit 64 bits for degrees at 1e-7."""
+    grid = F.transform("coords", lambda p: F.struct(F.rint(p.x * scale).cast("long").alias("x"), F.rint(p.y * scale).cast("long").alias("y")))
+    n = F.size("g")
+    g = lines.where(F.size("coords") >= 2).select("id", grid.alias("g")).withColumns({"first": F.element_at("g", 1), "last": F.element_at("g", -1)})
+    s = g.select("id", F.when(F.col("first") != F.col("last"), F.struct("first", "last")).alias("ends"), F.posexplode(F.arrays_zip(F.slice("g", 1, n - 1).alias("a"), F.slice("g", 2, n - 1).alias("b"))).alias("k", "s"))
+    s = s.select("id", "k", "ends", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by")).where("ax <> bx or ay <> by")
+    return s.withColumns({"minx": F.least("ax", "bx"), "miny": F.least("ay", "by"), "maxx": F.greatest("ax", "bx"), "maxy": F.greatest("ay", "by")})
+
+
+def line_meetings(segments: DataFrame, cell: int, of: DataFrame | None = None) -> DataFrame:
+    """(id, other, piece, touch) of lines of which segments meet, id below other: whether they share length,
+    and whether they share a point that ends neither; only pairs with a line of ``of`` if given. All tests are exact and columns."""
+    p = box_join(segments, segments, cell, before="id") if of is None else box_join(of, segments, cell).where("l_id <> r_id")
+    xy = lambda side_, end: (F.col(f"{side_}_{end}x"), F.col(f"{side_}_{end}y"))
+    a, b, c, d = xy("l", "a"), xy("l", "b"), xy("r", "a"), xy("r", "b")
+
+    def turn(u, v, w) -> Column:
+        x, y = (v[0] - u[0]) * (w[1] - u[1]), (v[1] - u[1]) * (w[0] - u[0])
+        return F.when(x > y, 1).when(x < y, -1).otherwise(0)
+
+    def beside(u, v, w) -> Column:
+        """For a point on the line of a segment, whether it is on the segment."""
+        return w[0].between(F.least(u[0], v[0]), F.greatest(u[0], v[0])) & w[1].between(F.least(u[1], v[1]), F.greatest(u[1], v[1]))
+
+    p = p.withColumns({"o1": turn(a, b, c), "o2": turn(a, b, d), "o3": turn(c, d, a), "o4": turn(c, d, b)}).where("o1 * o2 <= 0 and o3 * o4 <= 0")
+    flat = (F.col("o1") == 0) & (F.col("o2") == 0) & (F.col("o3") == 0) & (F.col("o4") == 0)
+    point = lambda w: F.struct(w[0].alias("x"), w[1].alias("y"))
+    lo, hi = (f(g(point(a), point(b)), g(point(c), point(d))) for f, g in ((F.greatest, F.least), (F.least, F.greatest)))
+    ends = [F.col(f"{side_}_ends.{e}") for side_ in ("l", "r") for e in ("first", "last")]
+    # where lines aren't parallel, an end on both is the point in which they meet
+    at_end = F.lit(False)
+    for e in ends:
+        w = (e.x, e.y)
+        at_end = at_end | F.coalesce((turn(a, b, w) == 0) & (turn(c, d, w) == 0), F.lit(False))
+    is_end = lambda q: F.coalesce(sum((F.coalesce((q == e).cast("int"), F.lit(0)) for e in ends), F.lit(0)) > 0, F.lit(False))
+    on = F.when(F.col("o1") == 0, beside(a, b, c)).when(F.col("o2") == 0, beside(a, b, d)).when(F.col("o3") == 0, beside(c, d, a)).when(F.col("o4") == 0, beside(c, d, b)).otherwise(F.lit(True))
+    touch = F.when(flat, (lo == hi) & ~is_end(lo)).otherwise(on & ~at_end)
+    met = p.select(F.least("l_id", "r_id").alias("id"), F.greatest("l_id", "r_id").alias("other"), (flat & (lo < hi)).alias("piece"), touch.alias("touch")).where("piece or touch")
+    return met.groupBy("id", "other").agg(F.bool_or("piece").alias("piece"), F.bool_or("touch").alias("touch"))
+
+
 def blob_ranges(index: DataFrame, by: tuple[str, ...] = ("kind",)) -> DataFrame:
     """(kind, first_id, offset) with the first id of the next blob; the last has none."""
     w = Window.partitionBy(*by).orderBy("first_id")
     return index.withColumn("next_id", F.lead("first_id").over(w))
 
 
-def assign_blobs(ids: DataFrame, index: DataFrame) -> DataFrame:
+def assign_blobs(ids: DataFrame, index: DataFrame, most_broadcast: int = 1_000_000) -> DataFrame:
     """Each asked (kind, id) with the blob that may hold it; ids before the first blob have none.
 
-    Ids and blob starts are put in one order, and each id takes the last start
-    before it: a window over their union, no range join."""
-    u = index.select("kind", F.col("first_id").alias("id"), "offset", F.lit(0).alias("q")).unionByName(ids.select("kind", "id").distinct().select("kind", "id", F.lit(None).cast("bigint").alias("offset"), F.lit(1).alias("q")))
-    w = Window.partitionBy("kind").orderBy("id", "q").rowsBetween(Window.unboundedPreceding, 0)
-    return u.withColumn("offset", F.last("offset", ignorenulls=True).over(w)).where("q = 1 and offset is not null").drop("q")
+    An index has an entry for some megabytes of a file: it is counted, sent to tasks as sorted arrays
+    and searched there. A larger one is met in an order of ids and starts by ranges of ids, each range
+    with the last start before it."""
+    asked = ids.select("kind", "id").distinct()
+    rows = index.select("kind", "first_id", "offset").limit(most_broadcast + 1).collect()
+    if len(rows) <= most_broadcast:
+        by_kind = {k: sorted((r.first_id, r.offset) for r in rows if r.kind == k) for k in {r.kind for r in rows}}
+        starts = {k: (np.array([x[0] for x in v], np.int64), np.array([x[1] for x in v], np.int64)) for k, v in by_kind.items()}
+
+        def search(batches):
+            for b in batches:
+                kind, ident = b.column("kind").to_pylist(), b.column("id").to_numpy()
+                kinds, out = np.array(kind, dtype=object), np.full(len(kind), -1, np.int64)
+                for k, (first, offset) in starts.items():
+                    at = np.flatnonzero(kinds == k)
+                    place = np.searchsorted(first, ident[at], "right") - 1
+                    out[at] = np.where(place >= 0, offset[np.maximum(place, 0)], -1)
+                found = pa.RecordBatch.from_arrays([b.column("kind"), b.column("id"), pa.array(out)], ["kind", "id", "offset"])
+                yield found.filter(pa.array(out >= 0))
+
+        return asked.mapInArrow(search, "kind string, id long, offset long")
+    span = asked.groupBy("kind").agg(F.min("id").alias("a"), (F.greatest(F.lit(1), F.max("id") - F.min("id"))).alias("w"))
+    part = F.greatest(F.lit(0), F.least(F.lit(1023), F.floor((F.col("id") - F.col("a")) * 1023 / F.col("w"))))
+    u = index.select("kind", F.col("first_id").alias("id"), "offset", F.lit(0).alias("q")).unionByName(asked.select("kind", "id", F.lit(None).cast("bigint").alias("offset"), F.lit(1).alias("q"))).join(F.broadcast(span), "kind").withColumn("p", part)
+    last = u.where("q = 0").groupBy("kind", "p").agg(F.max_by("offset", "id").alias("end"))
+    before = last.select("kind", F.col("p").alias("from"), "end", F.explode(F.sequence(F.col("p") + 1, F.lit(1024))).alias("p")).groupBy("kind", "p").agg(F.max_by("end", "from").alias("carried"))
+    w = Window.partitionBy("kind", "p").orderBy("id", "q").rowsBetween(Window.unboundedPreceding, 0)
+    out = u.withColumn("offset", F.last("offset", ignorenulls=True).over(w)).where("q = 1").join(before, ["kind", "p"], "left")
+    return out.withColumn("offset", F.coalesce("offset", "carried")).where("offset is not null").select("kind", "id", "offset")
 
 
 def node_way_buckets(way_nodes: DataFrame, width: int = 100_000_000) -> DataFrame:

@@ -352,7 +352,44 @@ def country_admin_bbox_join(c: Context) -> DataFrame:
     return spatial.box_join(n, r, 10.0).select(F.col("l_id").alias("country_id"), F.col("r_id").alias("admin_id"), F.col("r_admin_level").alias("level"))
 
 
-@query()
+def _area(a: str, b: str, p: str) -> str:
+    """Twice the area of a triangle of points, named by the start of their columns x and y: its sign is the turn."""
+    return f"(({b}x - {a}x) * ({p}y - {a}y) - ({b}y - {a}y) * ({p}x - {a}x))"
+
+
+def _meets_at(p: str) -> str:
+    """Whether two segments that meet in one point do so in a given one."""
+    return f"(case when spot is not null then spot = {p}x * 10000 + {p}y else {_area('a', 'e', p)} = 0 and {_area('c', 'd', p)} = 0 end)"
+
+
+def _beside(a: str, b: str, p: str) -> str:
+    return f"{p}x between least({a}x, {b}x) and greatest({a}x, {b}x) and {p}y between least({a}y, {b}y) and greatest({a}y, {b}y)"
+
+
+#: Segments of coastlines on a grid of tenths of a degree, their line's ends (none if closed), and where segments of two lines meet.
+_TENTHS = f"""pts as (select w.way_id as id, w.pos, cast((n.id * 104729) % 3500 as bigint) as x, cast((n.id * 7919) % 1700 as bigint) as y
+  from {{v_way_nodes}} w join {{v_ways}} v on v.id = w.way_id join {{v_nodes}} n on n.id = w.node_id where v.natural_tag = 'coastline'),
+ends as (select id, min_by(x, pos) as fx, min_by(y, pos) as fy, max_by(x, pos) as lx, max_by(y, pos) as ly from pts group by id),
+steps as (select id, pos as k, x as ax, y as ay, lead(x) over w as ex, lead(y) over w as ey from pts window w as (partition by id order by pos)),
+seg as (select s.id, s.k, s.ax, s.ay, s.ex, s.ey, fx, fy, lx, ly, fx <> lx or fy <> ly as open from steps s join ends e on e.id = s.id where ex is not null and (ax <> ex or ay <> ey)),
+near as (select s.id as id, t.id as other, s.k as k, t.k as k2, s.ax as ax, s.ay as ay, s.ex as ex, s.ey as ey, t.ax as cx, t.ay as cy, t.ex as dx, t.ey as dy, s.fx as f1x, s.fy as f1y, s.lx as l1x, s.ly as l1y, s.open as open1, t.fx as f2x, t.fy as f2y, t.lx as l2x, t.ly as l2y, t.open as open2,
+  sign({_area('s.a', 's.e', 't.a')}) as o1, sign({_area('s.a', 's.e', 't.e')}) as o2, sign({_area('t.a', 't.e', 's.a')}) as o3, sign({_area('t.a', 't.e', 's.e')}) as o4
+  from seg s join seg t on s.id < t.id and least(s.ax, s.ex) <= greatest(t.ax, t.ex) and least(t.ax, t.ex) <= greatest(s.ax, s.ex) and least(s.ay, s.ey) <= greatest(t.ay, t.ey) and least(t.ay, t.ey) <= greatest(s.ay, s.ey)),
+lex as (select *, o1 = 0 and o2 = 0 and o3 = 0 and o4 = 0 as flat, greatest(least(ax * 10000 + ay, ex * 10000 + ey), least(cx * 10000 + cy, dx * 10000 + dy)) as p, least(greatest(ax * 10000 + ay, ex * 10000 + ey), greatest(cx * 10000 + cy, dx * 10000 + dy)) as q from near where o1 * o2 <= 0 and o3 * o4 <= 0),
+hit as (select *, case when flat then p when o1 = 0 then cx * 10000 + cy when o2 = 0 then dx * 10000 + dy when o3 = 0 then ax * 10000 + ay when o4 = 0 then ex * 10000 + ey end as spot,
+  case when flat then p = q when o1 = 0 then {_beside('a', 'e', 'c')} when o2 = 0 then {_beside('a', 'e', 'd')}
+   when o3 = 0 then {_beside('c', 'd', 'a')} when o4 = 0 then {_beside('c', 'd', 'e')} else true end as meets from lex),
+met as (select id, other, k, k2, p, q, flat and p < q as piece, ax * 10000 + ay as a1, ex * 10000 + ey as b1, cx * 10000 + cy as a2, dx * 10000 + dy as b2, meets and not coalesce(
+   open1 and ({_meets_at('f1')} or {_meets_at('l1')}) or open2 and ({_meets_at('f2')} or {_meets_at('l2')}), false) as touch from hit),
+pair as (select id, other, bool_or(piece) as piece, bool_or(touch) as touch from met group by 1, 2),
+part as (select id as own, other as than, k, least(a1, b1) as lo, greatest(a1, b1) as hi, p, q from met where piece union all select other, id, k2, least(a2, b2), greatest(a2, b2), p, q from met where piece),
+run as (select *, max(q) over (partition by own, than, k order by p, q rows between unbounded preceding and 1 preceding) as reach from part),
+full_ as (select own, than, k from run group by own, than, k having min(p) = min(lo) and max(q) = max(hi) and bool_and(reach is null or p <= reach)),
+covered as (select f.own, f.than from full_ f group by f.own, f.than having count(*) = (select count(*) from seg s where s.id = f.own)),
+crossing as (select id, other from pair p where case when piece then not exists (select 1 from covered c where c.own = p.id and c.than = p.other) and not exists (select 1 from covered c where c.own = p.other and c.than = p.id) else touch end)"""
+
+
+@query(f"with {_TENTHS} select id, other from crossing union all select other, id from crossing")
 def coastline_crossings(c: Context) -> DataFrame:
     coast = c.ways.where(F.col("tags")["natural"] == "coastline")
     return coastlines.crossings(elements.way_coordinates(coast, c.nodes).where("n_nodes >= 2"), 40.0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,3 +60,40 @@ def read_states(spark: SparkSession, path: str, period_s: int) -> DataFrame:
     pick = lambda k: F.max(F.when(F.col("k") == k, F.col("v")))
     g = kv.groupBy("path").agg(pick("sequenceNumber").alias("seq"), pick("timestamp").alias("ts"))
     return g.select(F.lit(period_s).alias("period_s"), F.col("seq").cast("bigint").alias("seq"), F.to_timestamp("ts").alias("end_ts"))
+
+
+def cached(spark: SparkSession, source: str, cache: str, period_s: int, path: str, refresh: bool = False) -> str | None:
+    """The place of a change file in a cache by period and sequence, copied there from ``source`` first if it is missing
+    (or ``refresh``); None where the source has none."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = lambda x: jvm.org.apache.hadoop.fs.Path(x)
+    here, there = place(f"{cache}/{period_s}/{path}"), place(f"{source}/{path}")
+    own, other = here.getFileSystem(conf), there.getFileSystem(conf)
+    if refresh or not own.exists(here):
+        if not other.exists(there):
+            return None
+        tmp = place(f"{cache}/{period_s}/{path}.copy")
+        jvm.org.apache.hadoop.fs.FileUtil.copy(other, there, own, tmp, False, True, conf)
+        own.delete(here, False)
+        own.rename(tmp, here)
+    return here.toString()
+
+
+def read_cached(spark: SparkSession, source: str, cache: str, period_s: int, path: str, tries: int | None = None, wait_s: float = 1.0) -> DataFrame | None:
+    """The changes of a file through the cache; a file that can't be read is fetched again, past the cache, and tried
+    for ever unless ``tries`` says how often. None where there is none."""
+    attempt = 0
+    while True:
+        place = cached(spark, source, cache, period_s, path, refresh=attempt > 0)
+        if place is None:
+            return None
+        try:
+            df = read_changes(spark, place)
+            if spark.read.option("rowTag", "osmChange").option("mode", "FAILFAST").schema(SCHEMA).format("xml").load(place).count() == 0:
+                raise ValueError(f"no change document in {place}")
+            return df
+        except Exception:
+            attempt += 1
+            if tries is not None and attempt >= tries:
+                raise
+            time.sleep(wait_s)

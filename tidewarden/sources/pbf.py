@@ -6,8 +6,9 @@ ranges of blobs; tasks read, inflate and decode only their ranges.  Options:
 ``tags`` (JSON: key to list of values, empty for any) keeps nodes and ways with
 any of these tags and relations with all of them, tested on string numbers
 before an element is built; ``ids`` (comma-separated) keeps these elements and,
-by the blob index, reads only blobs that can hold them; ``metadata`` adds
-version and timestamp columns.  Files are opened by pyarrow, so any of its
+by the blob index, reads only blobs that can hold them; ``blobs`` (JSON: pairs of
+offset and size, as ``load`` takes them from a kept index) reads these alone;
+``metadata`` adds version and timestamp columns.  Files are opened by pyarrow, so any of its
 file systems can hold them.
 """
 
@@ -18,6 +19,9 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schemas import NODES, RELATIONS, WAYS
@@ -229,6 +233,74 @@ def blob_index(path: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda x: (_KINDS.index(x[0]), x[1]))
 
 
+INDEX = "kind string, first_id bigint, offset bigint, size bigint"
+
+
+def build_index(spark: SparkSession, path: str, keep: str | None = None, ignore_cache: bool = False) -> DataFrame:
+    """(kind, first_id, offset, size) of all blobs, sorted, kept as a table at ``keep`` (default: beside the file).
+
+    The driver reads the heads of blobs only; tasks inflate them. One entry stands for some megabytes."""
+    keep = keep or f"{path}.index"
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{keep}/_SUCCESS")
+    if ignore_cache or not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        with open_file(path) as f:
+            blobs = [(at, size) for at, size, kind in walk(f) if kind == "OSMData"]
+
+        def first(batches):
+            with open_file(path) as f:
+                for pdf in batches:
+                    out = []
+                    for at, size in zip(pdf.offset.tolist(), pdf["size"].tolist(), strict=True):
+                        f.seek(at)
+                        got = Block(inflate(f.read(size))).first()
+                        if got:
+                            out.append((*got, at, size))
+                    yield pd.DataFrame(out, columns=["kind", "first_id", "offset", "size"])
+
+        tasks = max(1, min(len(blobs), 10_000, sum(x[1] for x in blobs) >> 26))
+        found = spark.createDataFrame(blobs, "offset bigint, size bigint").repartition(tasks, "offset").mapInPandas(first, INDEX)
+        found.coalesce(1).sortWithinPartitions("kind", "first_id").write.mode("overwrite").parquet(keep)
+    return spark.read.schema(INDEX).parquet(keep)
+
+
+def max_blob_bytes(index: DataFrame) -> int:
+    """The largest blob's size, 0 without blobs: what a task holds at least."""
+    return index.agg(F.coalesce(F.max("size"), F.lit(0))).first()[0]
+
+
+def data_timestamp(path: str, index: DataFrame) -> int | None:
+    """Seconds of the last node of the last blob of nodes: how far the data goes."""
+    last = index.where("kind = 'N'").orderBy(F.desc("first_id")).limit(1).collect()
+    if not last:
+        return None
+    with open_file(path) as f:
+        f.seek(last[0].offset)
+        stamps = [x[-1] for x in Block(inflate(f.read(last[0]["size"]))).elements("N", None, None, True)]
+    return stamps[-1] if stamps else None
+
+
+def load(spark: SparkSession, path: str, kind: str, index: DataFrame | None = None, ids: list[int] | None = None, **options: str) -> DataFrame:
+    """Elements of a kind; with an index, only blobs of that kind are read, and of ids only those that can hold them."""
+    reader = spark.read.format("mappbf").option("kind", kind).options(**options)
+    if ids is not None:
+        reader = reader.option("ids", ",".join(map(str, sorted(set(ids)))))
+    if index is not None:
+        own = sorted((r.first_id, r.offset, r["size"]) for r in index.where(F.col("kind") == kind).collect())
+        if ids is not None:
+            firsts = [x[0] for x in own]
+            places = {int(np.searchsorted(firsts, i, "right")) - 1 for i in ids}
+            own = [own[k] for k in sorted(places) if k >= 0]
+        reader = reader.option("blobs", json.dumps([x[1:] for x in own]))
+    return reader.load(path)
+
+
+def latest_base(spark: SparkSession, folder: str, pattern: str = "planet-*.osm.pbf") -> str | None:
+    """The last file of a folder by name, None where there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return max((f.getPath().toString() for f in found), default=None)
+
+
 class _Range(InputPartition):
     def __init__(self, blobs: list[tuple[int, int]]):
         self.blobs = blobs
@@ -241,33 +313,43 @@ class _Reader(DataSourceReader):
         self.ids = {int(x) for x in options["ids"].split(",") if x} if "ids" in options else None
         self.metadata = options.get("metadata", "false").lower() == "true"
         self.bytes = int(options.get("bytesPerPartition", 64 << 20))
+        self.blobs = json.loads(options["blobs"]) if "blobs" in options else None
 
-    def partitions(self):
+    def _planned(self) -> list[tuple[int, int]]:
+        if self.blobs is not None:
+            return sorted((int(at), int(size)) for at, size in self.blobs)
         keep = None
         if self.ids is not None:
             # the blob that may hold an id is the last one that starts at or before it
             own = [(first, at) for kind, first, at in blob_index(self.path) if kind == self.kind]
             firsts = [x[0] for x in own]
             keep = {own[k][1] for i in self.ids if (k := int(np.searchsorted(firsts, i, "right")) - 1) >= 0}
-        out, now, total = [], [], 0
         with open_file(self.path) as f:
-            for at, size, kind in walk(f):
-                if kind != "OSMData" or keep is not None and at not in keep:
-                    continue
-                now.append((at, size))
-                total += size
-                if total >= self.bytes:
-                    out.append(_Range(now))
-                    now, total = [], 0
+            return [(at, size) for at, size, kind in walk(f) if kind == "OSMData" and (keep is None or at in keep)]
+
+    def partitions(self):
+        out, now, total = [], [], 0
+        for at, size in self._planned():
+            now.append((at, size))
+            total += size
+            if total >= self.bytes:
+                out.append(_Range(now))
+                now, total = [], 0
         if now or not out:
             out.append(_Range(now))
         return out
 
     def read(self, partition):
+        left = None if self.ids is None else set(self.ids)
         with open_file(self.path) as f:
             for at, size in partition.blobs:
                 f.seek(at)
-                yield from Block(inflate(f.read(size))).elements(self.kind, self.tags, self.ids, self.metadata)
+                for row in Block(inflate(f.read(size))).elements(self.kind, self.tags, left, self.metadata):
+                    if left is not None:
+                        left.discard(row[0])
+                    yield row
+                if left is not None and not left:  # all are found
+                    return
 
 
 class MapPbf(DataSource):

@@ -33,7 +33,11 @@ def write_issues(issues: DataFrame, header: DataFrame, path: str) -> None:
     header.crossJoin(rows).coalesce(1).write.mode("overwrite").json(path)
 
 
-def read_issues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_issues(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """Issues and header of a snapshot, None where there isn't one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return None
     schema = "run_ts timestamp, seq bigint, last_good_ts timestamp, last_good_seq bigint, issues array<struct<issue_type:string,osm_type:string,osm_id:bigint,friendly_name:string,details:string,first_seen:timestamp>>"
     raw = spark.read.schema(schema).json(path)
     return raw.select(F.explode("issues").alias("i")).select("i.*"), raw.drop("issues")
