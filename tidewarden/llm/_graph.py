@@ -26,23 +26,20 @@ def _stars(e: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
+def components(edges: DataFrame, *spent: DataFrame) -> DataFrame:
     """(node, component) of every node that has an edge (u, v); a component's name is its least node.
 
     Nulls are left out; loops and repeated edges don't matter; without edges
     there is no row.  A hub's neighbours are never gathered: stars are an
-    aggregation and a join, which adaptive execution can split.
+    aggregation and a join, which adaptive execution can split.  Rounds go on
+    until nothing changes, about as many as the logarithm of the longest path.
+    ``spent`` checkpoints go once the edges are written.
     """
-    e = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = checkpoint(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), *spent)
     sign = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = sign(e)
-    if before[0]:
-        for _ in range(most):
-            e = checkpoint(_stars(_stars(e, True), False))
-            after = sign(e)
-            if after == before:
-                break
-            before = after
-        else:
-            raise RuntimeError(f"components didn't settle in {most} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    before, after = None, sign(e)
+    while after[0] and after != before:
+        before = after
+        e = checkpoint(_stars(_stars(e, True), False), e)
+        after = sign(e)
+    return checkpoint(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct(), e)

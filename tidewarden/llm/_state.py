@@ -1,24 +1,21 @@
-"""Cutting lineage in the folder that all machines of a cluster share."""
+"""What operators need of the session: checkpoints in the shared folder, and names that a table doesn't use."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-
 from pyspark.sql import DataFrame
 
+from ..operators._state import checkpoint, delete, drop, scope, shared_folder
+
+__all__ = ["checkpoint", "delete", "drop", "scope", "shared_folder", "unused"]
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """An eager reliable checkpoint in ``spark.checkpoint.dir``; only where that is unset, in a folder of our own.
 
-    What was cut off is then dropped, so that its shuffle files can go.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    out = df.checkpoint()
-    del df
-    gc.collect()
-    sc._jvm.System.gc()
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of the table has it."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
     return out
