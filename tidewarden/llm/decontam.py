@@ -26,7 +26,7 @@ or, by ``keep_clean``, kept.
 from __future__ import annotations
 
 import math
-from itertools import accumulate
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _vec as V
-from ._state import checkpoint
+from ._state import checkpoint, unused
 
 OUT = "doc_id long, r long, kept boolean, item_id long, lcs_share double, start long"
 #: Punctuation and digits separate words like white space.
@@ -68,12 +68,10 @@ def lcs(a: list[int], b: list[int]) -> int:
 class Benchmark:
     """Items as sequences of word numbers, 0 for none; small, and shipped to tasks."""
 
-    def __init__(self, items: list[tuple[int, str]], most_words: int = 60_000):
+    def __init__(self, items: list[tuple[int, str]]):
         texts = pa.array([t for _, t in items], pa.string())
         h, rows = word_hashes(texts)
         self.vocab = np.unique(h)
-        if len(self.vocab) > most_words:
-            raise ValueError(f"the benchmark has over {most_words} different words; give it in parts")
         numbers = np.searchsorted(self.vocab, h) + 1
         seqs = [(i, numbers[rows[k] : rows[k + 1]]) for k, (i, _) in enumerate(items)]
         self.items = [(i, s) for i, s in seqs if len(s)]
@@ -187,11 +185,16 @@ class _Probing:
 
 
 def _gram_times(encoded: DataFrame, basis: np.ndarray, weight: np.ndarray, size: int) -> np.ndarray:
-    """A'A times a basis, A being all disjoint passages' TF-IDF vectors: summed in tasks, then by slices of rows."""
+    """A'A times a basis, A being all disjoint passages' TF-IDF vectors: summed in tasks, then by slices of rows in two levels."""
     n, rank = basis.shape
-    slices = 16
+    slices, groups = 16, max(1, math.isqrt(encoded.rdd.getNumPartitions()))
+    scaled = (weight[:, None] * basis).astype(np.float32)
+    weight32 = weight.astype(np.float32)
 
     def run(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
         total = np.zeros((n, rank))
         for batch in batches:
             for block in V.blocks([batch], "words", 200_000):
@@ -201,27 +204,28 @@ def _gram_times(encoded: DataFrame, basis: np.ndarray, weight: np.ndarray, size:
                     continue
                 w, p = words[k].astype(np.int64), passage[k]
                 start = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
-                rows = weight[w][:, None] * basis[w]
-                a = np.add.reduceat(rows, start, axis=0)  # passages times basis
-                spread = np.repeat(a, np.diff(np.append(start, len(k))), axis=0)
-                spread *= weight[w][:, None]
+                a = np.add.reduceat(scaled[w], start, axis=0)  # passages times basis
+                number = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(k))))
                 order = np.argsort(w, kind="stable")
                 ws = w[order]
                 at = np.flatnonzero(np.append(True, ws[1:] != ws[:-1]))
-                total[ws[at]] += np.add.reduceat(spread[order], at, axis=0)
+                total[ws[at]] += np.add.reduceat(a[number[order]], at, axis=0) * weight32[ws[at], None]
         parts = np.array_split(total.astype(np.float32), slices)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(slices)), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "part"])
+        group = (task.partitionId() if task else 0) % groups
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(slices)), pa.array([group] * slices), pa.array([x.tobytes() for x in parts], pa.binary())], ["slice", "part", "sum"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, x in zip(batch.column("slice").to_pylist(), batch.column("part").to_pylist(), strict=True):
+            for k, x in zip(batch.column("slice").to_pylist(), batch.column("sum").to_pylist(), strict=True):
                 x = np.frombuffer(x, np.float32)
                 sums[k] = sums[k] + x if k in sums else x.astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["slice", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([0] * len(sums), pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in sums.values()], pa.binary())], ["slice", "part", "sum"])
 
-    got = encoded.select("words").mapInArrow(run, "slice long, part binary").repartition(slices, "slice").mapInArrow(add, "slice long, part binary").collect()
-    parts = {r.slice: np.frombuffer(bytes(r.part), np.float64) for r in got}
+    schema = "slice long, part long, sum binary"
+    level = encoded.select("words").mapInArrow(run, schema).repartition(slices * groups, "slice", "part").mapInArrow(add, schema)
+    got = level.repartition(slices, "slice").mapInArrow(add, schema).collect()  # a row for each slice
+    parts = {r["slice"]: np.frombuffer(bytes(r["sum"]), np.float32).astype(np.float64) for r in got}
     return np.concatenate([parts[k].reshape(-1, rank) for k in sorted(parts)]) if parts else np.zeros((n, rank))
 
 
@@ -256,28 +260,29 @@ def search(encoded: DataFrame, bench: Benchmark, vectors: np.ndarray, windows: t
     norms = np.linalg.norm(targets, axis=1)
     targets = targets / np.maximum(norms, 1e-12)[:, None]
     lists = [s.tolist() for s in items]
-    sets = [set(s) for s in lists]
     heavy = (vectors != 0).any(axis=1)
     probing = _Probing(probes(bench, np.zeros(len(bench.vocab) + 1) if df is None else df, share, part, answer, short), len(bench.vocab))
 
+    lengths = np.array([len(x) for x in lists], np.int64)
+    held_by = np.zeros((len(items), len(bench.vocab) + 1), dtype=bool)  # bounded by the benchmark: items times words
+    for k, x in enumerate(items):
+        held_by[k, x] = True
+
     def check(words: np.ndarray, k: int, lo: int, hi: int) -> tuple[float, int]:
-        """Share of the item in the passage, widened by the item's length."""
+        """Share of the item in a region of a row."""
         item = lists[k]
         m = len(item)
-        lo, hi = max(0, lo - m // 2), min(len(words), hi + m // 2)
+        own = held_by[k][words[lo:hi]]
         region = words[lo:hi].tolist()
         if m < short:
             hit = next((j for j in range(len(region) - m + 1) if region[j : j + m] == item), None)
             return (1.0, lo + hit) if hit is not None else (0.0, -1)
-        own = sets[k]
-        if sum(1 for x in region if x in own) < part * m:  # a subsequence can't be longer than what both have
-            return 0.0, -1
         best, at = 0.0, -1
-        held = [0, *accumulate(x in own for x in region)]
-        for a in range(0, max(1, len(region) - m), max(1, m // 4)):
+        held = np.concatenate([[0], np.cumsum(own)])
+        first = np.arange(0, max(1, len(region) - m), max(1, m // 4))
+        last = np.minimum(first + m + m // 2, len(region))
+        for a in first[held[last] - held[first] >= part * m].tolist():  # a subsequence can't be longer than what both have
             x = region[a : a + m + m // 2]
-            if held[a + len(x)] - held[a] < part * m:
-                continue
             s = lcs(item, x) / m
             if s < share and s >= part:
                 tail = item[-max(1, m // 3) :]
@@ -287,22 +292,51 @@ def search(encoded: DataFrame, bench: Benchmark, vectors: np.ndarray, windows: t
                 best, at = s, lo + a
         return (best, at) if best >= part else (0.0, -1)
 
-    def tried(best, words, rows, row, lo, hi, pairs) -> None:
-        """The best item so far of each row, after more pairs of a window and an item."""
-        for i, t in pairs:
-            r = int(row[i])
-            if r in best and best[r][0] >= 0.999:
-                continue
-            s, at = check(words[rows[r] : rows[r + 1]], t, int(lo[i]), int(hi[i]))
+    def merged(row, item, lo, hi):
+        """Regions of a row for an item that overlap are one."""
+        order = np.lexsort((lo, item, row))
+        row, item, lo, hi = row[order], item[order], lo[order], hi[order]
+        if not len(row):
+            return row, item, lo, hi
+        group = row * np.int64(len(items)) + item
+        # the furthest end so far in the group: positions are below 2**32
+        number = np.cumsum(np.append(True, group[1:] != group[:-1])) - 1
+        reach = np.maximum.accumulate((number << 32) + hi) - (number << 32)
+        new = np.append(True, (group[1:] != group[:-1]) | (lo[1:] > reach[:-1]))
+        at = np.flatnonzero(new)
+        return row[at], item[at], lo[at], np.maximum.reduceat(hi, at)
+
+    def promising(words, rows, row, item, lo, hi):
+        """Regions that hold at least as many of the item's words as a match needs."""
+        keep = []
+        size = hi - lo
+        done = np.concatenate([[0], np.cumsum(size)])
+        at = 0
+        while at < len(row):
+            to = max(at + 1, int(np.searchsorted(done, done[at] + 4_000_000, "right")) - 1)
+            n = size[at:to]
+            own = held_by[np.repeat(item[at:to], n), words[V.ragged(rows[row[at:to]] + lo[at:to], n)]]
+            count = np.add.reduceat(own.astype(np.int64), np.cumsum(n) - n)
+            keep.append(at + np.flatnonzero(count >= part * lengths[item[at:to]]))
+            at = to
+        k = np.concatenate(keep) if keep else np.empty(0, np.int64)
+        return row[k], item[k], lo[k], hi[k]
+
+    def tried(words, rows, found) -> dict[int, tuple[float, int, int]]:
+        """The best item of each row, from regions by row and item."""
+        best: dict[int, tuple[float, int, int]] = {}
+        for r, t, a, z in zip(*(x.tolist() for x in promising(words, rows, *merged(*found))), strict=True):
+            s, at = check(words[rows[r] : rows[r + 1]], t, a, z)
             if s > 0 and (r not in best or (s, -t) > (best[r][0], -best[r][1])):
                 best[r] = (s, t, at)
+        return best
 
     def run(batches):
         for batch in batches:
             for block in V.blocks([batch], "words", 200_000):
                 raw, off = V.buffer(V.col(block, "words"))
                 words, rows = raw.view(np.uint16), off // 2
-                best: dict[int, tuple[float, int, int]] = {}
+                best, found = {}, []
                 if len(items) and len(words):
                     k = np.flatnonzero(heavy[words])
                     cum = np.zeros((len(k) + 1, vectors.shape[1]), np.float32)
@@ -325,12 +359,14 @@ def search(encoded: DataFrame, bench: Benchmark, vectors: np.ndarray, windows: t
                             x = cum[z[part_]] - cum[a[part_]]
                             x /= np.maximum(np.linalg.norm(x, axis=1), 1e-12)[:, None]
                             w, t = np.nonzero(x @ targets.T >= cosine)
-                            tried(best, words, rows, row, lo, hi, zip(part_[w].tolist(), t.tolist(), strict=True))
+                            # a region is a window widened by half of the item's length
+                            p, half = part_[w], lengths[t] // 2
+                            found.append((row[p], t, np.maximum(0, lo[p] - half), np.minimum(hi[p] + half, count[row[p]])))
                     row, item, lo, hi = probing.places(words, rows)
                     # a copy around its first or last hit begins or ends at most its span away
-                    length = np.array([len(s) for s in items])[item]
-                    lo, hi = np.maximum(0, lo - length), np.minimum(hi + length + 1, count[row])
-                    tried(best, words, rows, row, lo, hi, zip(range(len(row)), item.tolist(), strict=True))
+                    more = lengths[item] + lengths[item] // 2
+                    found.append((row, item, np.maximum(0, lo - more), np.minimum(hi + more + 1, count[row])))
+                    best = tried(words, rows, [np.concatenate(x) for x in zip(*found, strict=True)])
                 got = [best.get(r) for r in range(block.num_rows)]
                 yield pa.RecordBatch.from_arrays(
                     [V.col(block, "doc_id"), V.col(block, "r"), pa.array([g is None for g in got]), pa.array([None if g is None else ids[g[1]] for g in got], pa.int64()), pa.array([0.0 if g is None else g[0] for g in got], pa.float64()), pa.array([None if g is None else g[2] for g in got], pa.int64())],
@@ -340,20 +376,41 @@ def search(encoded: DataFrame, bench: Benchmark, vectors: np.ndarray, windows: t
     return encoded.mapInArrow(run, OUT)
 
 
-def read_benchmark(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", most_items: int = 50_000) -> Benchmark:
+def read_benchmark(bench: DataFrame, id_col: str = "item_id", text_col: str = "text", most_items: int = 200_000, most_words: int = 60_000, most_cells: int = 1 << 26) -> list[Benchmark]:
+    """The items, in parts of at most ``most_words`` different words and ``most_cells`` items times words: what a task holds.
+
+    All items come to the driver, so more than ``most_items`` are an error."""
     rows = bench.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).limit(most_items + 1).collect()
     if len(rows) > most_items:
-        raise ValueError(f"the benchmark has over {most_items} items; give it in parts")
-    return Benchmark(sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1])))
-
-
-def judge(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        raise ValueError(f"the benchmark has over {most_items} items")
+    items = sorted(((r[0], r[1]) for r in rows), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+    parts, part, words = [], [], set()
+    for item in items:
+        own = set(word_hashes(pa.array([item[1]]))[0].tolist())
+        if part and (len(words | own) > most_words or (len(part) + 1) * len(words | own) > most_cells):
+            parts.append(part)
+            part, words = [], set()
+        part.append(item)
+        words |= own
+    return [Benchmark(x) for x in [*parts, part]]
+
+
+def judge(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", **bounds: int) -> DataFrame:
     """doc_id, kept, item_id, lcs_share, start (in words) of every row."""
-    return _judge(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("r"), F.col(text_col).cast("string").alias("text")), bench).drop("r")
-
-
-def _judge(rows: DataFrame, bench: DataFrame) -> DataFrame:
-    b = read_benchmark(bench)
+    text = F.col(text_col).cast("string")
+    parts = read_benchmark(bench, **bounds)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.xxhash64(text) if len(parts) > 1 else F.lit(0).cast("long")).alias("r"), text.alias("text"))
+    if len(parts) == 1:
+        return _judge(rows, parts[0]).drop("r")
+    # the best item of all parts, by id and text
+    found = reduce(DataFrame.unionByName, [_judge(rows, b).where("not kept") for b in parts])
+    best = F.max_by(F.struct("item_id", "lcs_share", "start"), F.struct("lcs_share", -F.coalesce("item_id", F.lit(1 << 62))))
+    best = found.groupBy(F.col("doc_id").alias("g"), F.col("r").alias("h")).agg(best.alias("x"))
+    both = rows.select("doc_id", "r").join(best, F.col("doc_id").eqNullSafe(F.col("g")) & (F.col("r") == F.col("h")), "left")
+    return both.select("doc_id", F.col("x").isNull().alias("kept"), "x.item_id", F.coalesce("x.lcs_share", F.lit(0.0)).alias("lcs_share"), "x.start")
+
+
+def _judge(rows: DataFrame, b: Benchmark) -> DataFrame:
     encoded = checkpoint(encode(rows, b))
     if not b.items:
         return search(encoded, b, np.zeros((1, 1), np.float32))
@@ -363,7 +420,9 @@ def _judge(rows: DataFrame, bench: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows without a benchmark passage, with all their columns; rows of one id are told apart by a hash of their text."""
-    key = F.xxhash64(F.col(text_col))
-    found = _judge(docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("r"), F.col(text_col).cast("string").alias("text")), bench)
-    gone = found.where("not kept").select(F.col("doc_id").alias("g_id"), F.col("r").alias("g_r")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("g_id")) & (key == F.col("g_r")), "left_anti")
+    key = F.xxhash64(F.col(text_col).cast("string"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("r"), F.col(text_col).cast("string").alias("text"))
+    gone = reduce(DataFrame.unionByName, [_judge(rows, b).where("not kept").select("doc_id", "r") for b in read_benchmark(bench)])
+    g, h = unused(docs, "g_id", "g_r")
+    gone = gone.distinct().toDF(g, h)
+    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(g)) & (key == F.col(h)), "left_anti")
