@@ -2,11 +2,13 @@
 
 Each document has a vector of four transformed statistics.  For every cell, a
 language and source, location and scatter are estimated by the minimum
-covariance determinant: from a start of medians and quartile ranges,
-concentration steps take the mean and covariance of the 75 % of rows of least
-Mahalanobis distance.  Rows beyond a quantile of the chi-square distribution
-are rejected.  A step is one aggregation by cell and distance bin: sums merge
-before the shuffle, so a cell with a third of all rows is no hot key.
+covariance determinant: from several starts (medians and quartile ranges, signs,
+hyperbolic tangents, the inner half), concentration steps take the mean and
+covariance of the 75 % of rows of least Mahalanobis distance; two steps from
+each start, then the two best go on until no determinant falls any more, and the
+least determinant wins.  Rows beyond a quantile of the chi-square distribution
+are rejected.  A step is one aggregation by cell, start and distance bin: sums
+merge before the shuffle, so a cell with a third of all rows is no hot key.
 
 Defined cases: a null text has no words and fails the base rule; null language
 or source counts as a value of its own; cells of fewer than ``min_cell`` rows
@@ -22,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._state import checkpoint
+from ._state import checkpoint, drop
 
 WS = " \t\n\x0b\x0c\r"
 DIMS = 4
@@ -32,6 +34,10 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FLOORS = (0.06, 0.12, 0.3, 0.3)
 
 
+#: Columns of location and scatter.
+NAMES = [f"m{i}" for i in range(DIMS)] + [f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once for the row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -116,13 +122,19 @@ def _cholesky(cov: dict[tuple[int, int], Column]) -> list[tuple[str, Column]]:
     return out
 
 
+def _keys(params: DataFrame) -> list[str]:
+    """Parameters are by cell, or by cell and start."""
+    return [c for c in ("cell", "start") if c in params.columns]
+
+
 def _parameters(moments: DataFrame) -> DataFrame:
-    """Cell, location m{i}, Cholesky factor l{i}{j} from count n, sums s{i} and s{i}{j}; the scatter has its floors."""
-    out = moments.select("cell", *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(DIMS)], "n", *[f"s{i}{j}" for i in range(DIMS) for j in range(i + 1)])
+    """Location m{i}, Cholesky factor l{i}{j} from count n, sums s{i} and s{i}{j}; the scatter has its floors."""
+    keys = _keys(moments)
+    out = moments.select(*keys, *[(F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in range(DIMS)], "n", *[f"s{i}{j}" for i in range(DIMS) for j in range(i + 1)])
     cov = {(i, j): F.col(f"s{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") + (FLOORS[i] ** 2 if i == j else 0.0) for i in range(DIMS) for j in range(i + 1)}
     for name, x in _cholesky(cov):
         out = out.withColumn(name, x)
-    return out.select("cell", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)])
+    return out.select(*keys, *NAMES)
 
 
 def _distance(prefix: str = "q_") -> Column:
@@ -157,15 +169,63 @@ def _start(rows: DataFrame) -> DataFrame:
     return wide.select("cell", *[f"m{i}" for i in range(DIMS)], *diagonal)
 
 
+def _sums(z: list[Column]) -> list[Column]:
+    return [F.sum(x).alias(f"s{i}") for i, x in enumerate(z)] + [F.sum(z[i] * z[j]).alias(f"s{i}{j}") for i in range(DIMS) for j in range(i + 1)]
+
+
+def _starts(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """Parameters by cell and start: those given, and scatters about the same medians from signs, tangents and the inner half."""
+    scaled = rows.join(first, "cell").select("cell", *[((F.col(f"q_z{i}") - F.col(f"m{i}")) / F.col(f"l{i}{i}")).alias(f"y{i}") for i in range(DIMS)])
+    norm = F.sqrt(sum((F.col(f"y{i}") ** 2 for i in range(DIMS)), F.lit(1e-12)))
+    out = first.withColumn("start", F.lit(0))
+    for k, of in enumerate((lambda y: y / norm, F.tanh), 1):
+        sums = scaled.groupBy("cell").agg(F.count("*").alias("n"), *_sums([of(F.col(f"y{i}")) for i in range(DIMS)])).join(first, "cell")
+        # a correlation of bounded scores, scaled back; a small share of the identity keeps it regular
+        r = {(i, j): F.col(f"s{i}{j}") / F.col("n") for i in range(DIMS) for j in range(i + 1)}
+        d = [F.sqrt(r[i, i] + 1e-6) for i in range(DIMS)]
+        cov = {(i, j): F.col(f"d{i}") * F.col(f"d{j}") * (0.95 * r[i, j] / (d[i] * d[j]) + (0.05 if i == j else 0.0)) for i, j in r}
+        one = sums.withColumns({f"d{i}": F.col(f"l{i}{i}") for i in range(DIMS)}).drop(*[f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)])
+        for name, x in _cholesky(cov):
+            one = one.withColumn(name, x)
+        out = out.unionByName(one.select("cell", *NAMES, F.lit(k).alias("start")))
+    return out.unionByName(_concentrate(rows, first, 0.5).withColumn("start", F.lit(3)))
+
+
 def _concentrate(rows: DataFrame, params: DataFrame, h: float) -> DataFrame:
-    """One step: moments by cell and distance bin, the bins up to the part ``h`` of rows, new parameters."""
-    binned = rows.join(params, "cell").select("cell", *[f"q_z{i}" for i in range(DIMS)], F.floor(F.log(_distance() + 1e-9) * 20).alias("b"))
-    sums = [F.sum(f"q_z{i}").alias(f"s{i}") for i in range(DIMS)] + [F.sum(F.col(f"q_z{i}") * F.col(f"q_z{j}")).alias(f"s{i}{j}") for i in range(DIMS) for j in range(i + 1)]
-    bins = binned.groupBy("cell", "b").agg(F.count("*").alias("n"), *sums)
-    w = Window.partitionBy("cell")
+    """One step: moments by cell (and start) and distance bin, the bins up to the part ``h`` of rows, new parameters."""
+    keys = _keys(params)
+    binned = rows.join(params, "cell").select(*keys, *[f"q_z{i}" for i in range(DIMS)], F.floor(F.log(_distance() + 1e-9) * 20).alias("b"))
+    bins = binned.groupBy(*keys, "b").agg(F.count("*").alias("n"), *_sums([F.col(f"q_z{i}") for i in range(DIMS)]))
+    w = Window.partitionBy(*keys)
     inner = bins.withColumns({"before": F.sum("n").over(w.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"), "t": F.sum("n").over(w)}).where(F.col("before") < h * F.col("t"))
     names = ["n", *[f"s{i}" for i in range(DIMS)], *[f"s{i}{j}" for i in range(DIMS) for j in range(i + 1)]]
-    return _parameters(inner.groupBy("cell").agg(*[F.sum(x).alias(x) for x in names]))
+    return _parameters(inner.groupBy(*keys).agg(*[F.sum(x).alias(x) for x in names]))
+
+
+def _log_det() -> Column:
+    return sum((F.log(F.col(f"l{i}{i}")) for i in range(DIMS)), F.lit(0.0)) * 2
+
+
+def _best(params: DataFrame, n: int) -> DataFrame:
+    """Of each cell, the starts of least determinant."""
+    order = Window.partitionBy("cell").orderBy(_log_det(), "start")
+    return params.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n).drop("k")
+
+
+def least_determinant(rows: DataFrame, h: float, trial_steps: int = 2, best: int = 2, settled: float = 1e-3) -> DataFrame:
+    """Parameters by cell: a few steps from every start, the best go on while a determinant falls, the least one wins."""
+    first = checkpoint(_start(rows))
+    params = checkpoint(_starts(rows, first), first)
+    for _ in range(trial_steps):
+        params = checkpoint(_concentrate(rows, params, h), params)
+    params = checkpoint(_best(params, best), params)
+    while True:
+        # a start whose step doesn't lower its determinant is left as it is
+        new = _concentrate(rows, params, h).withColumn("after", _log_det()).join(params.select("cell", "start", _log_det().alias("before")), ["cell", "start"])
+        new = checkpoint(new.where(F.col("after") < F.col("before") - settled).drop("after", "before"))
+        if new.isEmpty():
+            return checkpoint(_best(params, 1).drop("start"), params, new)
+        params = checkpoint(params.join(new.select("cell", "start"), ["cell", "start"], "left_anti").unionByName(new), params, new)
 
 
 def keyed_stats(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -173,15 +233,12 @@ def keyed_stats(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
     return with_stats(docs.withColumns({"q_lang": null(lang_col), "q_source": null(source_col)}), text_col)
 
 
-def estimate(stats: DataFrame, h: float = 0.75, steps: int = 4, min_cell: int = 200) -> tuple[DataFrame, DataFrame]:
+def estimate(stats: DataFrame, h: float = 0.75, min_cell: int = 200) -> tuple[DataFrame, DataFrame]:
     """Parameters by cell, and the cells of (language, source), from checkpointed statistics."""
     celled, cells = _with_cells(stats, min_cell)
     cells = checkpoint(cells)
     rows = stats.where(~F.col("q_base_failed")).join(cells, ["q_lang", "q_source"]).select("cell", *[f"q_z{i}" for i in range(DIMS)])
-    params = checkpoint(_start(rows))
-    for _ in range(steps):
-        params = checkpoint(_concentrate(rows, params, h))
-    return params, cells
+    return least_determinant(rows, h), cells
 
 
 def judged(stats: DataFrame, params: DataFrame, cells: DataFrame, h: float = 0.75, tail: float = 1e-9, most_broadcast: int = 20_000) -> DataFrame:
@@ -196,7 +253,7 @@ def judged(stats: DataFrame, params: DataFrame, cells: DataFrame, h: float = 0.7
     d = _distance() / consistency(h)
     out = both.withColumn("q_distance", d)
     keep = F.coalesce(F.col("q_distance") <= chi2_quantile(1 - tail, DIMS), F.lit(True))
-    return out.withColumn("q_kept", ~F.col("q_base_failed") & keep).drop("cell", *[f"m{i}" for i in range(DIMS)], *[f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)])
+    return out.withColumn("q_kept", ~F.col("q_base_failed") & keep).drop("cell", *NAMES)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", **names: str) -> DataFrame:
@@ -209,7 +266,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", **names: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows that pass, with all their columns; statistics are made twice, which spares a shuffle of the texts."""
-    small = checkpoint(keyed_stats(docs.select("text", "lang", "source")).drop("text", "lang", "source"))
+    """The rows that pass, with all their columns, whatever those are called.
+
+    Statistics are made once: they are written beside the rows that pass the base rule."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    own = {c: f"row.{n}" for c, n in zip(docs.columns, names, strict=True)}
+    rows = docs.toDF(*names).select(F.struct(*names).alias("row"))
+    rows = checkpoint(keyed_stats(rows, own["lang"], own["source"], own["text"]).where(~F.col("q_base_failed")))
+    small = checkpoint(rows.select("q_lang", "q_source", "q_base_failed", *[f"q_z{i}" for i in range(DIMS)]))
     params, cells = estimate(small)
-    return judged(keyed_stats(docs), params, cells).where("q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    drop(small)
+    return judged(rows, params, cells).where("q_kept").select("row.*").toDF(*docs.columns)
