@@ -26,13 +26,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _vec as V
 from ._graph import components
 from ._repeats import whole_groups
-from ._state import checkpoint
+from ._state import checkpoint, drop, unused
 
 PLACES, CHUNKS = 128, 26
 #: Distance up to which all pairs meet.
@@ -315,12 +315,17 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, share: int) -> Dat
     return with_both.select("u", "v", "text_u", "text_v").mapInArrow(_confirm(size, share), "u long, v long").distinct()
 
 
-def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text and ``id``: doc_id where it tells all rows apart, else a hash of it and the text."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ids = rows.select("doc_id")
+def row_id(docs: DataFrame, id_col: str, text_col: str) -> Column:
+    """The id where it tells all rows apart, else a hash of it and the text."""
+    ids = docs.select(F.col(id_col).cast("long").alias("doc_id"))
     doubtful = ids.where("doc_id is null").limit(1).count() or ids.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return rows.withColumn("id", F.xxhash64("doc_id", "text") if doubtful else F.col("doc_id"))
+    own = F.col(id_col).cast("long")
+    return F.xxhash64(own, F.coalesce(F.col(text_col).cast("string"), F.lit(""))) if doubtful else own
+
+
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text and ``id`` (see ``row_id``)."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), row_id(docs, id_col, text_col).alias("id"))
 
 
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, share: int = 75, block: int = 1024, rounds: int = 1) -> DataFrame:
@@ -335,14 +340,13 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     classes = checkpoint(signed.where("n_shingles > 0").groupBy("cls").agg(F.min("id").alias("node"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n_shingles")))
     keyed = classes.select("node", "sig").mapInArrow(_keys, "key long, node long")
     buckets = checkpoint(keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_buckets, "key long, node long, lead long"))
-    stars = buckets.where("node <> lead").groupBy("node").agg(F.min("lead").alias("lead"))
-    stars = checkpoint(stars)
+    stars = checkpoint(buckets.where("node <> lead").groupBy("node").agg(F.min("lead").alias("lead")))
     wanted = buckets.select("node").distinct()
     texts = rows.select("id", "text").join(wanted.withColumnRenamed("node", "id"), "id", "left_semi").dropDuplicates(["id"])
     texts = checkpoint(texts.withColumn("text", F.encode("text", "utf-8")))
     links = checkpoint(_confirmed(stars.select(F.col("node").alias("u"), F.col("lead").alias("v")), texts, size, share))
-    comps = checkpoint(components(links))
-    tried = stars.select("node", F.array("lead").alias("seen"))
+    comps = components(links)
+    tried = checkpoint(stars.select("node", F.array("lead").alias("seen")))
 
     def mixed() -> DataFrame:
         """Rows of the buckets that still hold several components."""
@@ -355,21 +359,24 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
 
     # each node's nearest one of another component, a few times: this finds the common source of a group of copies
     for _ in range(rounds):
-        pairs = dealt(mixed().join(tried, "node", "left")).mapInArrow(_nearest(share), "u long, far long, v long").groupBy("u").agg(F.min(F.struct("far", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
-        pairs = checkpoint(pairs)
+        open_rows = mixed()
+        pairs = dealt(open_rows.join(tried, "node", "left")).mapInArrow(_nearest(share), "u long, far long, v long").groupBy("u").agg(F.min(F.struct("far", "v")).alias("x")).select("u", F.col("x.v").alias("v"))
+        pairs = checkpoint(pairs, open_rows)
         if pairs.isEmpty():
             break
-        links = checkpoint(links.unionByName(_confirmed(pairs, texts, size, share)).distinct())
-        comps = checkpoint(components(links))
-        tried = checkpoint(tried.unionByName(pairs.select(F.col("u").alias("node"), F.array("v").alias("seen"))).groupBy("node").agg(F.flatten(F.collect_list("seen")).alias("seen")))
+        links = checkpoint(links.unionByName(_confirmed(pairs, texts, size, share)).distinct(), links)
+        drop(comps)
+        comps = components(links)
+        tried = checkpoint(tried.unionByName(pairs.select(F.col("u").alias("node"), F.array("v").alias("seen"))).groupBy("node").agg(F.flatten(F.collect_list("seen")).alias("seen")), tried, pairs)
     # whatever is left: all pairs of different components within the distance
     rows_left = mixed()
+    drop(buckets, stars, comps)
     sets = texts.join(rows_left.select(F.col("node").alias("id")).distinct(), "id", "left_semi").mapInArrow(_sets(size), "node long, shingles binary")
     near = dealt(rows_left.join(sets, "node")).mapInArrow(_near(share), "u long, v long").distinct()
     gone = tried.select("node", F.explode("seen").alias("x")).select(F.greatest("node", "x").alias("u"), F.least("node", "x").alias("v"))
-    near = checkpoint(near.join(gone, ["u", "v"], "left_anti"))
+    near = checkpoint(near.join(gone, ["u", "v"], "left_anti"), rows_left, tried)
     more = _confirmed(near, texts, size, share)
-    final = checkpoint(components(links.unionByName(more)))
+    final = components(links.unionByName(more), links, near, texts)
     # classes to components, then the least doc_id of each
     named = signed.join(classes.select("cls", "node"), "cls", "left").join(final, "node", "left").select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "node")).alias("comp"))
     named = named.dropDuplicates(["id"])
@@ -384,7 +391,8 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return cluster(docs, **options).drop("id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row of each group, that of least id, and all rows of no group, with all their columns."""
-    gone = cluster(docs, id_col=id_col, **options).where("not kept").select(F.col("doc_id").alias("gone_id_")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("gone_id_")), "left_anti")
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each group, that of least id, and all rows of no group, with all their columns."""
+    key, name = unused(docs, "key", "gone")
+    gone = cluster(docs, id_col=id_col, text_col=text_col, **options).where("not kept").select(F.col("id").alias(name)).distinct()
+    return docs.withColumn(key, row_id(docs, id_col, text_col)).join(gone, F.col(key) == F.col(name), "left_anti").drop(key)
