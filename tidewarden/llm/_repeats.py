@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _vec as V
+from ._state import checkpoint
 
-ROW = "pk long, kind int, seg long, anchor long, doc_id long, r int, a int, n int"
-ASK = "doc_id long, r int, a int, n int, kind int, anchor long"
-DETAIL = "pk long, kind int, seg long, doc_id long, r int, a int, n int, payload binary"
-FOUND = "doc_id long, r int, a int, n int"
+ROW = "pk long, kind int, seg long, anchor long, doc_id long, r long, a int, n int"
+ASK = "doc_id long, r long, a int, n int, kind int, anchor long"
+DETAIL = "pk long, kind int, seg long, doc_id long, r long, a int, n int, payload binary"
+FOUND = "doc_id long, r long, a int, n int"
 #: Kinds of rows: an anchor; settled already; of a hot anchor; the mark of a hot anchor.
 ANCHOR, SETTLED, HOT, MARK = 0, 1, 2, 3
 #: Kinds of requests: all windows are repeats; compare segments; compare single windows.
@@ -47,9 +48,6 @@ LAST = (1 << 63) - 1  # a null id counts as the largest
 class Scheme:
     """How windows are anchored and compared."""
 
-    #: Whether a repeat may start in the same document.
-    within: bool
-
     def read(self, buf: np.ndarray, off: np.ndarray):
         """What the other methods need of a block."""
         raise NotImplementedError
@@ -65,6 +63,12 @@ class Scheme:
         """Hashes of single windows."""
         raise NotImplementedError
 
+    def later(self, order: np.ndarray, same: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Of entries sorted so that equal ones stand together by position, which have an equal one before them:
+        ``order`` has their positions, ``same`` whether each equals the one before it, ``doc`` their documents."""
+        lead = np.maximum.accumulate(np.where(same, 0, np.arange(len(same))))
+        return doc > doc[lead]
+
     def equal_earlier(self, group: np.ndarray, doc: np.ndarray, n: np.ndarray, payloads: list[bytes]) -> np.ndarray:
         """For all windows of all segments, whether an equal one of the same group comes earlier; segments are in order."""
         raise NotImplementedError
@@ -123,9 +127,9 @@ def _anchor_rows(scheme: Scheme, hot: int):
                 row, anchor, seg, a, n = row[order], anchor[order], seg[order], a[order], n[order]
             both = V.mix(anchor * V.U64(0x9E3779B97F4A7C15) ^ seg)
             _, first, inverse = np.unique(both, return_index=True, return_inverse=True)
-            lead = first[inverse]
-            index = np.arange(len(row))
-            settled = index != lead if scheme.within else doc[row] > doc[row[lead]]
+            order = np.argsort(both, kind="stable")
+            settled = np.zeros(len(row), dtype=bool)
+            settled[order] = scheme.later(order, np.append(False, both[order][1:] == both[order][:-1]), doc[row][order])
             # different segments of an anchor in this block
             names, which = np.unique(anchor[first], return_inverse=True)
             many = np.bincount(which) > hot
@@ -155,8 +159,7 @@ def _settle(scheme: Scheme, cap: int):
             sub[1:] |= seg[1:] != seg[:-1]
             real = (kind == ANCHOR) | (kind == HOT)
             group = np.cumsum(new) - 1
-            lead = np.maximum.accumulate(np.where(sub, np.arange(len(pk)), 0))
-            repeat = np.arange(len(pk)) != lead if scheme.within else doc > doc[lead]
+            repeat = scheme.later(np.arange(len(pk)), ~sub, doc)
             segs = np.bincount(group, sub & real)
             marked = np.bincount(group, kind == MARK) > 0
             hot = (kind == HOT) | ((segs > cap) | marked)[group]
@@ -209,9 +212,9 @@ def _details(scheme: Scheme):
                 key = V.mix(scheme.windows(read, rows, starts) ^ name.view(V.U64))
                 order = np.lexsort((starts, r[rows], doc[rows]))  # rows of a join come in any order
                 rows, starts, name, key = rows[order], starts[order], name[order], key[order]
-                _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-                lead = first[inverse]
-                done = np.arange(len(rows)) != lead if scheme.within else doc[rows] > doc[rows[lead]]
+                order = np.argsort(key, kind="stable")
+                done = np.zeros(len(rows), dtype=bool)
+                done[order] = scheme.later(order, np.append(False, key[order][1:] == key[order][:-1]), doc[rows][order])
                 pk = np.where(done, _spread(doc[rows], starts), V.signed(key))
                 what = np.where(done, REPEAT, WINDOWS).astype(np.int32)
                 yield _batch(DETAIL, pk, what, name, doc[rows], r[rows], starts.astype(np.int32), np.ones(len(rows), np.int32), pa.nulls(len(rows), pa.binary()))
@@ -230,8 +233,7 @@ def _compare(scheme: Scheme):
             if len(k):
                 sub = np.ones(len(k), dtype=bool)
                 sub[1:] = (pk[k][1:] != pk[k][:-1]) | (seg[k][1:] != seg[k][:-1])
-                lead = np.maximum.accumulate(np.where(sub, np.arange(len(k)), 0))
-                out.append(k[np.arange(len(k)) != lead if scheme.within else doc[k] > doc[k[lead]]])
+                out.append(k[scheme.later(np.arange(len(k)), ~sub, doc[k])])
             k = np.concatenate(out)
             if len(k):
                 yield _batch(FOUND, doc[k], r[k], a[k], n[k])
@@ -271,15 +273,19 @@ def repeats(docs: DataFrame, scheme: Scheme, finish, out_schema: str, id_col: st
     """
     # no column but these two, so that all steps read one and the same exchange
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # rows of one id are told apart by r, in order of their texts
-    own = ids.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    if not ids.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        key, own = "doc_id", ids.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")).cast("long"))
+    else:
+        # rows of one id are told apart by r, in order of their texts; no task gets all rows of an id
+        spread = ids.withColumn("m", F.monotonically_increasing_id()).repartitionByRange("doc_id", "text", "m").sortWithinPartitions("doc_id", "text", "m")
+        key, own = "r", checkpoint(spread.select("doc_id", "text", F.monotonically_increasing_id().alias("r")))
     anchors = own.select("doc_id", "r", "text").mapInArrow(_anchor_rows(scheme, hot), ROW)
     asks = anchors.repartition("pk").sortWithinPartitions("pk", "seg", "doc_id", "r", "a").mapInArrow(_settle(scheme, cap), ASK)
-    asks = asks.groupBy("doc_id").agg(F.collect_list(F.struct("r", "a", "n", "kind", "anchor")).alias("asks"))
-    both = own.join(asks, "doc_id", "left")
+    asks = asks.groupBy(key).agg(F.collect_list(F.struct("r", "a", "n", "kind", "anchor")).alias("asks"))
+    both = own.join(asks, key, "left")
     detail = both.where(F.col("asks").isNotNull()).select("doc_id", "r", "text", "asks").mapInArrow(_details(scheme), DETAIL)
     found = detail.repartition("pk").sortWithinPartitions("pk", "kind", "seg", "doc_id", "r", "a").mapInArrow(_compare(scheme), FOUND)
-    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("r", "a", "n")).alias("found"))
+    found = found.groupBy(key).agg(F.collect_list(F.struct("r", "a", "n")).alias("found"))
 
     def run(batches):
         for block in V.blocks(batches, "text"):
@@ -296,7 +302,7 @@ def repeats(docs: DataFrame, scheme: Scheme, finish, out_schema: str, id_col: st
             buf, off = V.buffer(V.col(block, "text"))
             yield from finish(block, buf, off, rows, starts, counts)
 
-    return both.join(found, "doc_id", "left").select(F.nullif("doc_id", F.lit(LAST)).alias("id"), "r", "text", "asks", "found").mapInArrow(run, out_schema)
+    return both.join(found, key, "left").select(F.nullif("doc_id", F.lit(LAST)).alias("id"), "r", "text", "asks", "found").mapInArrow(run, out_schema)
 
 
 def cover(total: int, at: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -106,7 +106,7 @@ class Words(R.Scheme):
 
 def dedup(docs: DataFrame, width: int = 50, period: int = 31, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """What is left of each document without windows of ``width`` words that start in one of smaller id; ``with_text`` adds the text."""
-    scheme = Words(within=False, width=width, period=min(period, width))
+    scheme = Words(width=width, period=min(period, width))
 
     def finish(block, buf, off, rows_, starts, counts):
         s, e, rows = V.words(buf, off)

@@ -6,7 +6,9 @@ next smaller position; where that longest previous factor reaches ``width``,
 the suffix's first ``width`` bytes are a later copy.  Only suffixes that can
 reach it are sorted: two equal windows of ``width`` bytes have the same
 minimizer, an anchor of ``gram`` bytes, so suffixes are dealt by anchor and each
-anchor's are put in suffix order together (see ``_repeats``).
+anchor's are put in suffix order together (see ``_repeats``).  Segments and hot
+windows that are equal as a whole are settled before, by the same arrays over
+their order by hash, where equal ones stand together as in suffix order.
 
 Defined cases: a null or empty text has no bytes and keeps none; matches never
 cross documents; a null id counts as the largest; rows with one id count in
@@ -30,42 +32,31 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 OUT_TEXT = OUT + ", kept binary"
 
 
-def smaller_neighbours(positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each rank in suffix order, the ranks of the previous and next smaller position, -1 where there is none."""
+def previous_factor(positions: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """By rank: the match with the previous smaller position in suffix order, 0 where there is none.
+
+    All ranks at once: each points to the rank before, and while that has a larger position and something
+    is still shared, to what that one points to; the least common prefix on the way is the match."""
     n = len(positions)
-    prev, nxt, stack = np.full(n, -1), np.full(n, -1), []
-    for k, p in enumerate(positions.tolist()):
-        while stack and positions[stack[-1]] > p:
-            nxt[stack.pop()] = k
-        prev[k] = stack[-1] if stack else -1
-        stack.append(k)
-    return prev, nxt
+    prev, low = np.arange(n) - 1, np.asarray(lcp, np.int64).copy()
+    if n:
+        low[0] = 0
+    at = np.flatnonzero(low > 0)
+    at = at[positions[prev[at]] > positions[at]]
+    while len(at):
+        j = prev[at]
+        low[at], prev[at] = np.minimum(low[at], low[j]), prev[j]
+        at = at[low[at] > 0]
+        at = at[positions[prev[at]] > positions[at]]
+    return low
 
 
 def longest_previous_factor(positions: np.ndarray, lcp: np.ndarray) -> np.ndarray:
-    """By rank: the longest match with an earlier position; ``lcp[k]`` is between ranks k - 1 and k."""
-    out = np.zeros(len(positions), np.int64)
-    prev, nxt = smaller_neighbours(positions)
-    for k in range(len(positions)):
-        if prev[k] >= 0:
-            out[k] = max(out[k], lcp[prev[k] + 1 : k + 1].min())
-        if nxt[k] >= 0:
-            out[k] = max(out[k], lcp[k + 1 : nxt[k] + 1].min())
-    return out
-
-
-def reaches(positions: np.ndarray, full: np.ndarray) -> np.ndarray:
-    """By rank, whether the longest previous factor reaches the width.
-
-    ``full[k]`` says that ranks k - 1 and k share ``width`` bytes.  A smaller
-    neighbour within the run of such ranks exists for all but the run's least
-    position: if that stands before in suffix order, the previous smaller
-    position is in the run, and if it stands behind, the next smaller one is.
-    """
-    run = np.cumsum(~full) - 1
-    least = np.full(int(run[-1]) + 1 if len(run) else 0, np.iinfo(np.int64).max)
-    np.minimum.at(least, run, positions)
-    return positions != least[run]
+    """By rank in suffix order: the longest match with an earlier position, the better one of the previous and
+    of the next smaller position; ``lcp[k]`` is between ranks k - 1 and k."""
+    lcp = np.asarray(lcp, np.int64)
+    back = np.append(np.zeros(min(1, len(lcp)), np.int64), lcp[1:][::-1])
+    return np.maximum(previous_factor(positions, lcp), previous_factor(positions[::-1], back)[::-1])
 
 
 @dataclass
@@ -114,6 +105,10 @@ class Bytes(R.Scheme):
             parts.append((row, g[at[a]], V.spans(h, a, b + w - 1), a + lo - off[row], b - a))
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
+    def later(self, order, same, doc):
+        # what equals the entry before it shares a factor with it; sorted by hash instead of suffix, equal ones stand together too
+        return longest_previous_factor(order, same.astype(np.int64)) > 0
+
     def payload(self, block, row, a, n):
         buf, off = block
         return buf[off[row] + a : off[row] + a + n + self.width - 1].tobytes()
@@ -137,17 +132,18 @@ class Bytes(R.Scheme):
         if len(k):
             suffixes = np.ndarray((len(buf) - w + 1,), dtype=f"S{w}", buffer=buf, strides=(1,))[at[k]]
             order = np.lexsort((k, suffixes, g[k]))
-            full = np.zeros(len(k), dtype=bool)
             s, gg = suffixes[order], g[k][order]
-            full[1:] = (s[1:] == s[:-1]) & (gg[1:] == gg[:-1])
-            out[k[order]] = reaches(k[order], full)
+            # common prefixes below the width can't make a factor of it and count as none
+            lcp = np.zeros(len(k), np.int64)
+            lcp[1:] = np.where((s[1:] == s[:-1]) & (gg[1:] == gg[:-1]), w, 0)
+            out[k[order]] = longest_previous_factor(k[order], lcp) >= w
         return out
 
 
 def dedup(docs: DataFrame, width: int = 100, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """What is left of each document without later copies of strings of ``width`` bytes; ``with_text`` adds the bytes."""
     gram = max(1, min(32, width // 3))
-    scheme = Bytes(within=True, width=width, gram=gram)
+    scheme = Bytes(width=width, gram=gram)
 
     def finish(block, buf, off, rows, starts, counts):
         gone = R.cover(len(buf), off[rows] + starts, counts + width - 1)
