@@ -1,11 +1,15 @@
 """Packing of tokenised documents into sequences of several lengths.
 
 Documents are routed by what remains after their full windows to context-size
-tiers; the longest tier opens a window, its gap is filled from shorter tiers,
-whole pieces first and a cut piece last, so a window is filled exactly.  What
-is left at the end of a task is cut at powers of two, which need no padding.
-Each task packs the rows of its own partition: no shuffle, memory bounded by
-one window of pending pieces, and a lost task is redone alone.
+tiers, each to the shortest that holds it.  Each tier is packed by itself into
+windows of its own size, the longest tier first; a window's gap is filled from
+the shorter tiers, the longest piece that fits first, and where none fits, by a
+piece that is cut, so windows are filled exactly.  What is left at the end of a
+task is cut at powers of two, which need no padding.  Finished windows are dealt
+to step groups, the largest to the group of least load, so that all groups of a
+task hold the same number of tokens but for its last few, which share the rest.
+Each task packs the rows of its own partition: no shuffle, memory bounded by the
+pieces that wait, and a lost task is redone alone.
 
 Defined cases: a null text counts as empty, and an empty document is its
 terminator alone; a null id is carried as null; repeated rows are packed once
@@ -112,29 +116,70 @@ def encoder(tokenizer_path: str) -> ChunkEncoder:
     return ChunkEncoder(tokenizer_path)
 
 
+class Groups:
+    """Deals windows to step groups of so many tokens, the largest first, each to the least loaded; rows leave as groups fill."""
+
+    def __init__(self, tokens: int, base: int):
+        self.tokens, self.next, self.held, self.load, self.rows = tokens, base, [], 0, []
+
+    def add(self, size: int, rows: list[tuple]) -> None:
+        self.held.append((size, rows))
+        self.load += size
+        if self.load >= 4 * self.tokens:
+            self._deal(3)
+
+    def _deal(self, n: int) -> None:
+        """Fills n groups, up to their tokens while windows are left over; sizes are powers of two, so groups come out even."""
+        left, loads = [], [0] * n
+        for size, rows in sorted(self.held, key=lambda x: -x[0]):
+            k = min(range(n), key=loads.__getitem__)
+            if loads[k] + size > self.tokens:
+                left.append((size, rows))
+            else:
+                loads[k] += size
+                self.rows += [(*r, self.next + k) for r in rows]
+        self.next += n
+        self.held, self.load = left, sum(x[0] for x in left)
+
+    def finish(self) -> None:
+        """What is left, in as few groups as hold it, evenly."""
+        if self.held:
+            n = -(-self.load // self.tokens)
+            most, self.tokens = self.tokens, self.load
+            self._deal(n)
+            self.tokens = most
+
+    def drain(self) -> list[tuple]:
+        out, self.rows = self.rows, []
+        return out
+
+
 class Packer:
-    """Packs pieces into windows; ``rows`` collects what is placed."""
+    """Packs pieces into windows, a queue of waiting pieces for each tier."""
 
     def __init__(self, context: int, tiers: tuple[int, ...], base: int, group_tokens: int):
-        self.context, self.tiers, self.group_tokens = context, tuple(sorted(tiers, reverse=True)), group_tokens
+        self.context, self.tiers = context, tuple(sorted(tiers, reverse=True))
         self.queues = {t: deque() for t in self.tiers}
-        self.next, self.tokens, self.base, self.rows = base, 0, base, []
-
-    def _open(self, tier: int) -> tuple[int, int, int]:
-        seq = self.next
-        self.next += 1
-        return seq, tier, (self.base << 8) + self.tokens // self.group_tokens
+        self.next, self.waiting = base, 0
+        self.groups = Groups(group_tokens, base)
 
-    def _put(self, piece, seq, offset: int) -> int:
+    def _row(self, piece, seq: int, offset: int, tier: int) -> tuple:
         doc, start, ids, total = piece
-        self.rows.append((doc, start, len(ids), zlib.crc32(ids.tobytes()), total, seq[0], offset, seq[1], seq[2]))
-        self.tokens += len(ids)
-        return offset + len(ids)
+        return (doc, start, len(ids), zlib.crc32(ids.tobytes()), total, seq, offset, tier)
+
+    def _close(self, tier: int, pieces: list) -> None:
+        """A full window of pieces."""
+        rows, at = [], 0
+        for p in pieces:
+            rows.append(self._row(p, self.next, at, tier))
+            at += len(p[2])
+        self.next += 1
+        self.groups.add(tier, rows)
 
     def add(self, doc, ids: np.ndarray) -> None:
         total, at = len(ids), 0
         while total - at >= self.context:
-            self._put((doc, at, ids[at : at + self.context], total), self._open(self.context), 0)
+            self._close(self.context, [(doc, at, ids[at : at + self.context], total)])
             at += self.context
         if at < total:
             self._route((doc, at, ids[at:], total))
@@ -144,58 +189,61 @@ class Packer:
         size = len(piece[2])
         tier = min((t for t in self.tiers if t >= size), default=self.tiers[0])
         self.queues[tier].append(piece)
+        self.waiting += size
+
+    def _take(self, tier: int):
+        piece = self.queues[tier].popleft()
+        self.waiting -= len(piece[2])
+        return piece
 
     def pending(self) -> int:
         return sum(len(q) for q in self.queues.values())
 
-    def pack(self, low: int) -> None:
-        """Fill windows while more than ``low`` pieces wait and hold a window's tokens."""
-        while self.pending() > low and sum(len(p[2]) for q in self.queues.values() for p in list(q)[:9]) >= self.context:
-            self._window()
-
-    def _window(self) -> None:
-        seq, at = self._open(self.context), 0
-        while at < self.context:
-            gap = self.context - at
-            # the longest tier whose next piece fits, else a cut from the shortest tier there is
-            tier = next((t for t in self.tiers if self.queues[t] and len(self.queues[t][0][2]) <= gap), None)
-            if tier is None:
-                tier = next((t for t in reversed(self.tiers) if self.queues[t]), None)
-                if tier is None:
-                    break
-                doc, start, ids, total = self.queues[tier].popleft()
-                at = self._put((doc, start, ids[:gap], total), seq, at)
-                self._route((doc, start + gap, ids[gap:], total))
-            else:
-                at = self._put(self.queues[tier].popleft(), seq, at)
+    def pack(self, low: int = 0) -> None:
+        """Packs the tiers in turn, the longest first, until about ``low`` pieces wait or too few tokens for another window."""
+        for tier in self.tiers:
+            while self.queues[tier] and self.waiting >= tier and self.pending() > low:
+                self._window(tier)
+
+    def _window(self, tier: int) -> None:
+        """A window of the tier's size: a piece of its own, then whatever fits, the longest tier first, at last a cut piece."""
+        pieces, gap = [self._take(tier)], tier
+        gap -= len(pieces[0][2])
+        while gap:
+            fits = next((t for t in self.tiers if self.queues[t] and len(self.queues[t][0][2]) <= gap), None)
+            if fits is not None:
+                pieces.append(self._take(fits))
+                gap -= len(pieces[-1][2])
+                continue
+            cut = next(t for t in reversed(self.tiers) if self.queues[t])
+            doc, start, ids, total = self._take(cut)
+            pieces.append((doc, start, ids[:gap], total))
+            self._route((doc, start + gap, ids[gap:], total))
+            gap = 0
+        self._close(tier, pieces)
 
     def finish(self) -> None:
-        """Whole windows, then powers of two."""
-        left = lambda: sum(len(p[2]) for q in self.queues.values() for p in q)
-        n = left()
-        for _ in range(n // self.context):
-            self._window()
-        rest = [p for t in self.tiers for p in self.queues[t]]
-        n %= self.context
-        size = 1 << max(0, n.bit_length() - 1)
-        while n:
-            if n < size:
-                size >>= 1
-                continue
-            seq, at = self._open(size), 0
-            while at < size:
-                doc, start, ids, total = rest.pop(0)
-                take = min(size - at, len(ids))
-                at = self._put((doc, start, ids[:take], total), seq, at)
-                if take < len(ids):
-                    rest.insert(0, (doc, start + take, ids[take:], total))
-            n -= size
-        for q in self.queues.values():
-            q.clear()
+        """Windows of all tiers, then powers of two."""
+        self.pack()
+        while self.waiting:
+            self._exactly(1 << self.waiting.bit_length() - 1)
+        self.groups.finish()
+
+    def _exactly(self, size: int) -> None:
+        """A window of so many of the waiting tokens, in order of tiers."""
+        pieces, gap = [], size
+        while gap:
+            doc, start, ids, total = self._take(next(t for t in self.tiers if self.queues[t]))
+            pieces.append((doc, start, ids[:gap], total))
+            if len(ids) > gap:
+                rest = (doc, start + gap, ids[gap:], total)
+                self.queues[min(t for t in self.tiers if t >= len(rest[2]))].appendleft(rest)
+                self.waiting += len(rest[2])
+            gap -= len(pieces[-1][2])
+        self._close(size, pieces)
 
     def drain(self) -> list[tuple]:
-        out, self.rows = self.rows, []
-        return out
+        return self.groups.drain()
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", context: int = 1024, tiers: tuple[int, ...] = (1024, 512, 256, 128), end_id: int = 0, window: int = 512, group_tokens: int = 64 * 1024) -> DataFrame:
