@@ -2,14 +2,21 @@
 
 A page becomes tokens in page order: words and tags.  Words score positive,
 tags negative; how much comes from labelled pages (those whose markup names its
-main element: ``article`` or ``main``), as log odds of a token's kind inside
-and outside of it.  Kadane's linear scan finds the contiguous region of the
-best sum.  Parts that are never content (scripts, menus, forms, notices,
-adverts, comments of readers) carry no words, wherever they stand.
+main element: ``article`` or ``main``), as log odds of a word's or tag's element
+inside and outside of it.  Kadane's linear scan finds the contiguous region of
+the best sum.  The label serves to fit alone: to the scan, those two are ``div``.
+
+Parts that are never content carry no words, wherever they stand: elements that
+say so by name (scripts, menus, forms), hidden ones, and those with a class, id
+or role that labelled pages hold outside of the main element or that is known
+for it (``HINTS``: notices, adverts, comments of readers).  A class that they
+hold inside overrules that list, and a paragraph needs every word of one of its
+classes to be known for it.
 
 Defined cases: null or empty html gives an empty text; a page without any
-content word too; unclosed or stray tags are tolerated; no page is dropped;
-repeated rows give repeated results; extra columns are ignored.
+content word too; unclosed or stray tags are tolerated, in time linear in the
+page; no page is dropped; repeated rows give repeated results; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +24,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
-from collections import Counter
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,118 +48,205 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
-#: Scores where no page is labelled.
-DEFAULT_WEIGHTS = {"word": 1.0, "word:a": -1.0, "word:drop": -4.0, "tag": -1.5, "tag:text": -0.5, "tag:drop": -6.0}
+#: Elements of text: their tags score least below 0, and a hint has to be all of a class to drop them.
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre br hr li ul ol dl dt dd table tr td th tbody thead figure figcaption".split()) | INLINE
+#: Elements that end at the next of their kind in the same list or table. Fixed values.
+ITEMS = frozenset(("li", "dt", "dd", "tr", "td", "th", "option"))
+LISTS = ("ul", "ol", "dl", "table", "select", "menu")
+
+
+class Model(NamedTuple):
+    """Scores by element of a word and of a tag, and the log odds of class words."""
+
+    words: dict[str, float]
+    tags: dict[str, float]
+    classes: dict[str, float]
+
+
+#: Scores of elements that labelled pages don't show.
+WORD, LINK_WORD, TAG, TEXT_TAG, DROPPED = 1.0, -0.5, -1.0, -0.1, -0.1
+#: Log odds from which a class counts as outside (below) or inside (above) of the main element.
+OUTSIDE, INSIDE = -3.0, 0.0
+#: Words or tags that labelled pages must show before their odds count.
+SEEN = 50
+DEFAULT_WEIGHTS = Model({}, {}, {})
+
 
+class Token(NamedTuple):
+    name: str  # the element: of a tag its own, of a run of text the nearest that isn't inline, or "a" in a link
+    text: str | None  # None for tags
+    block: int
+    dropped: bool
+    inside: bool | None  # of the main element; None for its own tags
 
-class Token:
-    __slots__ = ("kind", "text", "block", "inside")
+    def size(self) -> int:
+        return 1 if self.text is None else len(self.text.split())
 
-    def __init__(self, kind: str, text: str, block: int, inside: bool):
-        self.kind, self.text, self.block, self.inside = kind, text, block, inside
 
+class _Open(NamedTuple):
+    name: str
+    dropped: bool
+    inside: bool
+    block_at: int  # position of the nearest element up to this one that isn't inline
+    classes: tuple[str, ...]
+    words_before: tuple[int, int]  # outside and inside
 
-def _is_dropped(name: str, attrs: str) -> bool:
+
+def class_words(attrs: str) -> list[list[str]]:
+    """The words of each class, id and role."""
+    return [x for m in _ATTR.finditer(attrs) for value in m[2].strip("\"'").lower().split() if (x := [w for w in re.split(r"[^a-z]+", value) if w])]
+
+
+def _is_dropped(name: str, attrs: str, values: list[list[str]], classes: dict[str, float]) -> bool:
     if name in DROP:
         return True
-    if name in ("html", "body", "main") or not attrs:
+    if name in ("html", "body", "main", "article"):
         return False
-    if _HIDDEN.search(attrs):
+    if attrs and _HIDDEN.search(attrs):
         return True
-    for m in _ATTR.finditer(attrs):
-        for value in m[2].strip("\"'").lower().split():
-            parts = re.split(r"[^a-z]+", value)
-            if not {"has", "with", "no", "is", "not"} & set(parts) and any(w in HINTS for w in parts):
-                return True
+    known = lambda w: classes.get(w, OUTSIDE if w in HINTS else INSIDE) <= OUTSIDE
+    for parts in values:
+        if not {"has", "with", "no", "is", "not"} & set(parts) and (all if name in TEXT_TAGS else any)(known(w) for w in parts):
+            return True
     return False
 
 
-def tokens(page: str) -> list[Token]:
-    """Tags and runs of text in page order; a run carries its block's number."""
-    out: list[Token] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, dropped, inside the main element
-    block, at, end = 0, 0, len(page)
-
-    def text(a: int, b: int) -> None:
-        if a < b:
-            dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            run = _html.unescape(page[a:b])
-            kind = "word:drop" if dropped else "word:a" if any(s[0] == "a" for s in stack[-4:]) else "word"
-            out.append(Token(kind, run, block, inside))
-
-    def pop_to(k: int) -> None:
-        del stack[k:]
-
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
-            text(at, end)
-            break
-        text(at, m.start())
-        at = m.end() if m.end() > m.start() else m.start() + 1
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        inside = stack[-1][2] if stack else False
-        if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            # an inline end tag doesn't reach over a block's start
-            if k is not None and not (name in INLINE and any(s[0] not in INLINE for s in stack[k + 1 :])):
-                pop_to(k)
-            dropped = stack[-1][1] if stack else False
-        else:
-            if name in CLOSES_P:
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p" or stack[i][0] not in INLINE), None)
-                if k is not None and stack[k][0] == "p":
-                    pop_to(k)
-            elif name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name or stack[i][0] in ("ul", "ol", "dl", "table", "select", "menu")), None)
-                if k is not None and stack[k][0] == name:
-                    pop_to(k)
-            dropped = name != "main" and ((stack[-1][1] if stack else False) or _is_dropped(name, m[3]))
-            inside = (stack[-1][2] if stack else False) or name in MAIN
-            if name not in VOID and not m[3].endswith("/"):
-                stack.append((name, dropped, inside))
-                if name in RAW:
-                    close = re.compile(rf"</{name}\b", re.I).search(page, at)
-                    to = close.start() if close else end
-                    at = to
-        if name not in INLINE:
-            block += 1
-        kind = "tag:drop" if dropped else "tag:text" if name in TEXT_TAGS else "tag"
-        out.append(Token(kind, "", block, inside and name not in MAIN))
+class Page:
+    """One pass over a page: its tokens, and by class word how many words stand in its elements outside and inside of the main one."""
+
+    def __init__(self, page: str, classes: dict[str, float]):
+        self.tokens: list[Token] = []
+        self.classes: dict[str, list[int]] = {}
+        self.stack: list[_Open] = []
+        self.open: dict[str, list[int]] = {}  # where elements of a name stand in the stack
+        self.words, self.block, self.known = [0, 0], 0, classes
+        self._read(page)
+        self._pop(0)
+
+    def _text(self, run: str) -> None:
+        top = self.stack[-1] if self.stack else _Open("", False, False, -1, (), (0, 0))
+        name = "a" if self.open.get("a") else self.stack[top.block_at].name if top.block_at >= 0 else ""
+        self.tokens.append(Token(_plain(name), _html.unescape(run), self.block, top.dropped, top.inside))
+        self.words[top.inside] += self.tokens[-1].size()
+
+    def _pop(self, k: int) -> None:
+        while len(self.stack) > k:
+            e = self.stack.pop()
+            self.open[e.name].pop()
+            for w in e.classes:
+                n = self.classes.setdefault(w, [0, 0])
+                for i in (0, 1):
+                    n[i] += self.words[i] - e.words_before[i]
+
+    def _last(self, *names: str) -> int:
+        """Where the innermost open element of the names stands, or -1."""
+        return max((self.open[x][-1] for x in names if self.open.get(x)), default=-1)
+
+    def _end(self, name: str) -> None:
+        k = self._last(name)
+        # an inline end tag doesn't reach over a block's start
+        if k >= 0 and not (name in INLINE and self.stack[-1].block_at > k):
+            self._pop(k)
+
+    def _start(self, name: str, attrs: str) -> None:
+        if name in CLOSES_P:
+            k = self.stack[-1].block_at if self.stack else -1
+            if k >= 0 and self.stack[k].name == "p":
+                self._pop(k)
+        elif name in ITEMS:
+            k = self._last(name)
+            if k > self._last(*LISTS):
+                self._pop(k)
+        elif name == "a" and self.open.get("a"):
+            self._end("a")
+
+    def _read(self, page: str) -> None:
+        at, end = 0, len(page)
+        while at < end:
+            m = _TOKEN.search(page, at)
+            if not m:
+                self._text(page[at:])
+                return
+            if at < m.start():
+                self._text(page[at : m.start()])
+            at = m.end() if m.end() > m.start() else m.start() + 1
+            name, attrs = (m[2] or "").lower(), m[3] or ""
+            if not name:
+                continue
+            outer = self.stack[-1] if self.stack else None
+            was_inside = outer is not None and outer.inside
+            if m[1]:
+                dropped, inside = outer is not None and outer.dropped, was_inside  # as what it ends
+                self._end(name)
+            else:
+                self._start(name, attrs)
+                top = self.stack[-1] if self.stack else None
+                values = class_words(attrs) if attrs else []
+                dropped = (top is not None and top.dropped) or _is_dropped(name, attrs, values, self.known)
+                inside = (top is not None and top.inside) or name in MAIN
+                if name not in VOID and not attrs.endswith("/"):
+                    k = len(self.stack)
+                    self.stack.append(_Open(name, dropped, inside, k if name not in INLINE else top.block_at if top else -1, tuple({w for v in values for w in v}), (self.words[0], self.words[1])))
+                    self.open.setdefault(name, []).append(k)
+                    if name in RAW:
+                        close = _CLOSE[name].search(page, at)
+                        at = close.start() if close else end
+            if name not in INLINE:
+                self.block += 1
+            self.tokens.append(Token(_plain(name), None, self.block, dropped, None if name in MAIN else inside))
+
+
+_CLOSE = {name: re.compile(rf"</{name}\b", re.I) for name in RAW}
+
+
+def _plain(name: str) -> str:
+    """The label is no feature."""
+    return "div" if name in MAIN else name
+
+
+def count(page: str | None) -> dict[tuple[str, str], list[int]]:
+    """Of a labelled page, by (what, name): how often outside and inside of the main element."""
+    read = Page(page or "", {})
+    out: dict[tuple[str, str], list[int]] = {}
+    if any(t.inside for t in read.tokens):
+        for t in read.tokens:
+            if not t.dropped and t.inside is not None:
+                out.setdefault(("tag" if t.text is None else "word", t.name), [0, 0])[t.inside] += t.size()
+        for w, n in read.classes.items():
+            got = out.setdefault(("class", w), [0, 0])
+            got[0] += n[0]
+            got[1] += n[1]
+        out["all", ""] = [read.words[0], read.words[1]]
     return out
 
 
-def _size(t: Token) -> int:
-    return len(t.text.split()) if t.kind.startswith("word") else 1
+def model(counts: dict[tuple[str, str], list[int]]) -> Model:
+    """Log odds of what was seen often enough; words that carry text score at least a little above 0, tags below."""
+    out = Model({}, {}, {})
+    total = {what: [sum(n[i] for (x, _), n in counts.items() if x == what) for i in (0, 1)] for what in ("word", "tag", "all")}
+    for (what, name), (outside, inside) in counts.items():
+        if outside + inside >= SEEN and what != "all":
+            n, m = total["all" if what == "class" else what]
+            score = math.log((inside + 0.5) / (m + 1)) - math.log((outside + 0.5) / (n + 1))
+            if what == "class":
+                out.classes[name] = score
+            elif what == "word":
+                out.words[name] = min(score, -0.1) if name == "a" else max(0.5, min(score, 4.0))
+            else:
+                # a line break or emphasis never outweighs a word
+                out.tags[name] = max(TEXT_TAG if name in TEXT_TAGS else -6.0, min(score, -0.05))
+    return out
 
 
-def learn(pages) -> dict[str, float]:
-    """Log odds of each kind of token, inside against outside of the main element, over labelled pages."""
-    counts = {True: Counter(), False: Counter()}
+def learn(pages) -> Model:
+    """The model of labelled pages."""
+    counts: dict[tuple[str, str], list[int]] = {}
     for page in pages:
-        got = tokens(page)
-        if any(t.inside for t in got):
-            for t in got:
-                counts[t.inside][t.kind] += _size(t)
-    return weights(counts[True], counts[False])
-
-
-def weights(inside: dict, outside: dict) -> dict[str, float]:
-    """Words score at least a little above 0, tags below; kinds that are seldom seen keep their default."""
-    n, m = sum(inside.values()), sum(outside.values())
-    out = dict(DEFAULT_WEIGHTS)
-    if n and m:
-        for kind in out:
-            a, b = inside.get(kind, 0), outside.get(kind, 0)
-            if a + b >= 50:
-                score = math.log((a + 1) / (n + 6)) - math.log((b + 1) / (m + 6))
-                out[kind] = max(0.25, min(score, 4.0)) if kind == "word" else max(-8.0, min(score, -0.1))
-        # a single line break or emphasis never outweighs a sentence
-        out["tag:text"] = max(out["tag:text"], -0.5)
-    return out
+        for key, n in count(page).items():
+            got = counts.setdefault(key, [0, 0])
+            got[0] += n[0]
+            got[1] += n[1]
+    return model(counts)
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -167,49 +261,50 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return a, b
 
 
-def extract(page: str | None, w: dict[str, float]) -> str:
+def score(t: Token, w: Model) -> float:
+    if t.text is None:
+        return DROPPED if t.dropped else w.tags.get(t.name, TEXT_TAG if t.name in TEXT_TAGS else TAG)
+    if t.dropped:
+        return 0.2 * DROPPED * min(t.size(), 20)  # a region may span it
+    return w.words.get(t.name, LINK_WORD if t.name == "a" else WORD) * t.size()
+
+
+def extract(page: str | None, w: Model) -> str:
     if not page:
         return ""
-    got = tokens(page)
-    # markup that names its main element is the strongest label there is: its own words count most
-    named = any(t.inside and t.kind == "word" and t.text.strip() for t in got)
-    scores = []
-    for t in got:
-        s = w[t.kind] * _size(t)
-        if t.kind.endswith("drop") or named and t.inside:
-            s = max(s, -1e-3)  # such parts carry no words, so a region may span them
-        scores.append(min(-1.0, w["tag"]) * max(1, _size(t)) if named and not t.inside else s)
-    a, b = best_region(scores)
+    got = Page(page, w.classes).tokens
+    a, b = best_region([score(t, w) for t in got])
     blocks: dict[int, list[str]] = {}
     for t in got[a:b]:
-        if t.kind in ("word", "word:a"):
+        if t.text is not None and not t.dropped:
             blocks.setdefault(t.block, []).append(t.text)
     return " ".join(x for x in (" ".join("".join(parts).split()) for parts in blocks.values()) if x)
 
 
-def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_pages: int = 2000) -> dict[str, float]:
-    """Weights from the labelled pages among the ``fit_pages`` of smallest id (a documented bound)."""
+def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", fit_pages: int = 2000) -> Model:
+    """The model of the labelled pages among the ``fit_pages`` of smallest id (a documented bound)."""
     labelled = pages.where(F.col(html_col).rlike("(?i)<(article|main)[\\s>]"))
     # only ids are ordered; the pages of the bounded number that is left are fetched by them
     ids = labelled.select(F.col(id_col).alias("page_id")).orderBy("page_id").limit(fit_pages).distinct()
     sample = labelled.select(F.col(id_col).alias("page_id"), F.col(html_col).alias("html")).join(F.broadcast(ids), "page_id", "left_semi")
 
-    def count(batches):
-        counts = {True: Counter(), False: Counter()}
+    def counted(batches):
+        counts: dict[tuple[str, str], list[int]] = {}
         for batch in batches:
             for page in batch.column("html").to_pylist():
-                got = tokens(page or "")
-                if any(t.inside for t in got):
-                    for t in got:
-                        counts[t.inside][t.kind] += _size(t)
-        rows = [(i, k, n) for i in counts for k, n in counts[i].items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.bool_()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], ["inside", "kind", "n"])
+                for key, n in count(page).items():
+                    got = counts.setdefault(key, [0, 0])
+                    got[0] += n[0]
+                    got[1] += n[1]
+        rows = [(*key, *n) for key, n in counts.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64()))], ["what", "name", "outside", "inside"])
 
-    rows = sample.mapInArrow(count, "inside boolean, kind string, n long").groupBy("inside", "kind").agg(F.sum("n").alias("n")).collect()  # two times six kinds at most
-    return weights({r.kind: r.n for r in rows if r.inside}, {r.kind: r.n for r in rows if not r.inside})
+    rows = sample.mapInArrow(counted, "what string, name string, outside long, inside long").groupBy("what", "name").agg(F.sum("outside").alias("outside"), F.sum("inside").alias("inside"))
+    # names of elements and classes of a bounded number of pages
+    return model({(r["what"], r["name"]): [r["outside"], r["inside"]] for r in rows.collect()})
 
 
-def extract_pages(pages: DataFrame, w: dict[str, float], id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_pages(pages: DataFrame, w: Model, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and its length in code points, for every row."""
 
     def run(batches):
