@@ -7,6 +7,9 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 TOKENIZERS: str | None = None
 
 
@@ -63,7 +66,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op2_html_extraction, op4_chat_formatting, op9_language_id, op10_packing)}
-ORACLE: dict[str, str] = {}
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
