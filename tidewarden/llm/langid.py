@@ -22,14 +22,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _vec as V
+from ._state import checkpoint
 
+#: Bytes of a run of a long word when pieces are counted; every byte of a text counts.
+RUN = 64
 OUT = "doc_id long, held_out boolean, lang_pred string, score double"
 
 
 class Vocabulary:
     """Pieces as byte strings, found by the hash of a span."""
 
-    def __init__(self, model_path: str, longest: int = 16):
+    def __init__(self, model_path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model_path)
@@ -38,9 +41,9 @@ class Vocabulary:
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)):
                 # a word's mark of its start is a space here, as it stands before each word
                 pieces.add(sp.id_to_piece(i).replace("▁", " ").encode())
-        self.pieces = sorted(p for p in pieces if len(p) <= longest)
+        self.pieces = sorted(pieces)
         self.tables = []
-        for size in range(1, longest + 1):
+        for size in range(1, max(map(len, self.pieces)) + 1):
             own = [k for k, p in enumerate(self.pieces) if len(p) == size]
             raw = np.frombuffer(b"".join(self.pieces[k] for k in own), np.uint8)
             h = V.prefix(raw)
@@ -105,8 +108,11 @@ def backward_counts(vocab: Vocabulary, p: np.ndarray, buf, starts, ends, weight)
     size = ends - starts
     longest = len(vocab.tables)
     total = np.zeros(len(vocab.pieces))
-    keep = size <= 64  # longer words say little about a language's pieces
-    starts, size, weight = starts[keep], size[keep], weight[keep]
+    # a long word, as in scripts that don't part them, counts in runs, so that the tables stay small
+    parts = -(-size // RUN)
+    first = V.ragged(np.zeros(len(size), np.int64), parts) * RUN
+    starts, weight = np.repeat(starts, parts) + first, np.repeat(weight, parts)
+    size = np.minimum(np.repeat(size, parts) - first, RUN)
     for at in range(0, len(starts), 20_000):
         s, n, w = starts[at : at + 20_000], size[at : at + 20_000], weight[at : at + 20_000]
         top = int(n.max()) if len(n) else 0
@@ -132,22 +138,37 @@ def backward_counts(vocab: Vocabulary, p: np.ndarray, buf, starts, ends, weight)
     return total
 
 
-def train(docs: DataFrame, model_path: str, per_lang: int = 1500, max_langs: int = 256, rounds: int = 3, smooth: float = 0.05, text_chars: int | None = None) -> tuple[list[str], np.ndarray]:
+def sample(rows: DataFrame, per_lang: int) -> DataFrame:
+    """(doc_id, lang) of the ``per_lang`` documents of each language of smallest hashed id, repeated ones once.
+
+    Hashes below a bound that takes a few more than that are enough, so no language is sorted as a whole."""
+    ids = rows.select("doc_id", "lang").distinct().withColumn("h", F.xxhash64("doc_id"))
+    counted = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    want, more = per_lang + 12 * math.isqrt(per_lang) + 64, 1
+    while True:
+        # the hash as a share of its range
+        share = (F.col("h").cast("double") / float(1 << 64)) + 0.5
+        low = ids.join(counted, "lang").where(share * F.col("n") <= want * more)
+        chosen = low.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang)
+        short = counted.join(chosen.groupBy("lang").agg(F.count("*").alias("got")), "lang", "left").where(F.coalesce("got", F.lit(0)) < F.least("n", F.lit(per_lang)))
+        if short.isEmpty():
+            return chosen.select("doc_id", "lang")
+        more *= 4
+
+
+def train(docs: DataFrame, model_path: str, per_lang: int = 1500, rounds: int = 3, smooth: float = 0.05) -> tuple[list[str], np.ndarray]:
     """Languages and their log piece probabilities, by expectation maximisation.
 
     Fitted on ``per_lang`` documents of each language, those of smallest hashed
-    id (a documented bound), at most ``max_langs`` languages.  ``docs`` has
-    doc_id, text and lang; its rows with null are left out.
+    id (a documented bound). ``docs`` has doc_id, text and lang; its rows with
+    null are left out. A language costs a column of the vocabulary's size.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_lang).select("doc_id", "lang", "k")
-    langs = sorted(r.lang for r in chosen.select("lang").distinct().limit(max_langs + 1).collect())
-    if len(langs) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    if not langs:
+    chosen = checkpoint(sample(rows, per_lang))
+    if chosen.isEmpty():
         return [], np.empty((0, 0))
-    chosen = rows.join(chosen.dropDuplicates(["doc_id", "lang"]).drop("k"), ["doc_id", "lang"]).select("lang", "text")
+    chosen = rows.join(chosen, ["doc_id", "lang"]).select("lang", "text")
 
     def count(batches):
         """Distinct words of each block and language with their counts."""
@@ -193,8 +214,9 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, model_path: str
             if langs:
                 each = np.empty((len(starts), len(langs)))
                 by_size = np.argsort(ends - starts, kind="stable")  # so that one long word doesn't hold up the rest
-                for at in range(0, len(by_size), 50_000):
-                    k = by_size[at : at + 50_000]
+                step = max(256, 200_000 // len(langs))  # what ``forward`` holds is words times languages times the longest piece
+                for at in range(0, len(by_size), step):
+                    k = by_size[at : at + step]
                     each[k] = forward(vocab, logp, wbuf, starts[k], ends[k])
                 cum = np.concatenate([np.zeros((1, len(langs))), np.cumsum(each[inverse], axis=0)])
                 for i, text in enumerate(texts):

@@ -48,8 +48,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
     path = tokenizer("piece_bpe_32k.model")
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % 4 == 2)
-    langs, logp = langid.train(docs.where(~F.col("held_out")), path)
+    # a null id is neither held out nor learned from
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
+    langs, logp = langid.train(docs.where(~F.col("held_out") & F.col("doc_id").isNotNull()), path)
     return langid.predict(docs, langs, logp, path)
 
 
