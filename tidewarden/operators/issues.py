@@ -48,3 +48,9 @@ def page(issues: DataFrame, issue_type: str) -> DataFrame:
         .select(F.to_date("first_seen").alias("day"), scalars.day_title(F.col("first_seen")).alias("title"), "first_seen", "osm_type", "osm_id", scalars.element_url(F.col("osm_type"), F.col("osm_id")).alias("url"), "friendly_name", "details")
         .orderBy(F.desc("day"), F.desc("first_seen"), "osm_type", "osm_id")
     )
+
+
+def links(elements: DataFrame) -> DataFrame:
+    """(osm_type, osm_id) with the links that a page shows: the element, for relations an analysis, and a local editor."""
+    kind, ident = F.col("osm_type"), F.col("osm_id")
+    return elements.select("osm_type", "osm_id", scalars.element_url(kind, ident).alias("page"), F.when(kind == "R", scalars.analyzer_url(ident)).alias("analyzer"), scalars.editor_url(kind, ident).alias("editor"))

@@ -65,10 +65,10 @@ def filter_branches(c: Context) -> DataFrame:
     return tag.unionByName(filters.select(e, [filters.ElementFilter("N", ids=(1, 2, 97, 1000000))]).select("etype", "id", F.lit("ids").alias("branch")))
 
 
-@query("select id, place is not null or name is not null as tagged, id in (3, 5) or place = 'economy' as hit from {v_nodes} where (place is not null or name is not null) and (id in (3, 5) or place = 'economy')")
+@query("select id, place is not null or name is not null as tagged, (place is not null or name is not null) and (id in (3, 5) or coalesce(place = 'economy', false)) as hit from {v_nodes}")
 def filter_point_match(c: Context) -> DataFrame:
     f = filters.ElementFilter("N", (filters.TagFilter("place", ("economy",)),), (3, 5))
-    return c.nodes.where(f.matches(F.col("tags"), F.col("id"))).select("id", F.lit(True).alias("tagged"), F.lit(True).alias("hit"))
+    return c.nodes.select("id", (F.size("tags") > 0).alias("tagged"), f.matches(F.col("tags"), F.col("id")).alias("hit"))
 
 
 @query("select n.id, n.lat, n.lon from {v_nodes} n where exists (select 1 from {v_centres} m where m.type = 'N' and m.ref = n.id)")
@@ -367,9 +367,12 @@ def _beside(a: str, b: str, p: str) -> str:
 
 
 #: Segments of coastlines on a grid of tenths of a degree, their line's ends (none if closed), and where segments of two lines meet.
-_TENTHS = f"""pts as (select w.way_id as id, w.pos, cast((n.id * 104729) % 3500 as bigint) as x, cast((n.id * 7919) % 1700 as bigint) as y
-  from {{v_way_nodes}} w join {{v_ways}} v on v.id = w.way_id join {{v_nodes}} n on n.id = w.node_id where v.natural_tag = 'coastline'),
-ends as (select id, min_by(x, pos) as fx, min_by(y, pos) as fy, max_by(x, pos) as lx, max_by(y, pos) as ly from pts group by id),
+_FAR = """pts as (select w.way_id as id, w.pos, cast((n.id * 104729) % 3500 as bigint) as x, cast((n.id * 7919) % 1700 as bigint) as y
+  from {v_way_nodes} w join {v_ways} v on v.id = w.way_id join {v_nodes} n on n.id = w.node_id where v.natural_tag = 'coastline'),"""
+#: The same ways with their nodes around the first one, so that few cross.
+_NEAR = """pts as (select w.way_id as id, w.pos, cast((e.first_node * 104729 + w.way_id * 31) % 3500 + (w.node_id * 7919) % 41 - 20 as bigint) as x, cast((e.first_node * 7919 + w.way_id * 17) % 1700 + (w.node_id * 104729) % 31 - 15 as bigint) as y
+  from {v_way_nodes} w join {v_ways} v on v.id = w.way_id join {v_ends} e on e.id = w.way_id where v.natural_tag = 'coastline'),"""
+_MEETINGS = f"""ends as (select id, min_by(x, pos) as fx, min_by(y, pos) as fy, max_by(x, pos) as lx, max_by(y, pos) as ly from pts group by id),
 steps as (select id, pos as k, x as ax, y as ay, lead(x) over w as ex, lead(y) over w as ey from pts window w as (partition by id order by pos)),
 seg as (select s.id, s.k, s.ax, s.ay, s.ex, s.ey, fx, fy, lx, ly, fx <> lx or fy <> ly as open from steps s join ends e on e.id = s.id where ex is not null and (ax <> ex or ay <> ey)),
 near as (select s.id as id, t.id as other, s.k as k, t.k as k2, s.ax as ax, s.ay as ay, s.ex as ex, s.ey as ey, t.ax as cx, t.ay as cy, t.ex as dx, t.ey as dy, s.fx as f1x, s.fy as f1y, s.lx as l1x, s.ly as l1y, s.open as open1, t.fx as f2x, t.fy as f2y, t.lx as l2x, t.ly as l2y, t.open as open2,
@@ -389,12 +392,22 @@ covered as (select f.own, f.than from full_ f group by f.own, f.than having coun
 crossing as (select id, other from pair p where case when piece then not exists (select 1 from covered c where c.own = p.id and c.than = p.other) and not exists (select 1 from covered c where c.own = p.other and c.than = p.id) else touch end)"""
 
 
-@query(f"with {_TENTHS} select id, other from crossing union all select other, id from crossing")
+@query(f"with {_FAR} {_MEETINGS} select id, other from crossing union all select other, id from crossing")
 def coastline_crossings(c: Context) -> DataFrame:
     coast = c.ways.where(F.col("tags")["natural"] == "coastline")
     return coastlines.crossings(elements.way_coordinates(coast, c.nodes).where("n_nodes >= 2"), 40.0)
 
 
+@query(f"with {_NEAR} {_MEETINGS} select id, other from crossing union all select other, id from crossing")
+def coastline_crossings_near(c: Context) -> DataFrame:
+    coast = c.ways.where((F.col("tags")["natural"] == "coastline") & (F.size("nodes") >= 2))
+    first = F.element_at("nodes", 1)
+    x = lambda n: ((first * 104729 + F.col("id") * 31) % 3500 + (n * 7919) % 41 - 20) / 10 - 175
+    y = lambda n: ((first * 7919 + F.col("id") * 17) % 1700 + (n * 104729) % 31 - 15) / 10 - 85
+    lines = coast.select("id", F.transform("nodes", lambda n: F.struct(x(n).alias("x"), y(n).alias("y"))).alias("coords"))
+    return coastlines.crossings(lines, 4.0)
+
+
 @query()
 def coastline_way_reasons(c: Context) -> DataFrame:
     return coastlines.way_reasons(c.ways.where(F.col("tags")["natural"] == "coastline"), c.nodes).select("id", "first_node", "last_node", "reason")
@@ -483,7 +496,10 @@ def replication_paths(c: Context) -> DataFrame:
     return c.view("v_repl_state").select("seq", F.concat(scalars.sequence_path(F.col("seq")), F.lit(".state.txt")).alias("path"))
 
 
-@query()
+@query("""with recursive b as (select cast(floor(min(epoch(ts))) as bigint) as lo, cast(floor(max(epoch(ts))) as bigint) as hi from {events}),
+ walk as (select 0 as step, cast(0 as bigint) as period, lo - lo % 60 as t, hi - hi % 60 as m, hi - hi % 3600 as h, hi - hi % 86400 as d from b
+ union all select step + 1, p, t + p, m, h, d from (select *, case when t % 86400 = 0 and t + 86400 <= d then 86400 when t % 3600 = 0 and t + 3600 <= h then 3600 when t + 60 <= m then 60 end as p from walk) where p is not null)
+ select cast(step - 1 as int) as step, cast(period as int) as period_s, t - period as start_s, t as end_s from walk where step > 0""")
 def catchup_plan(c: Context) -> DataFrame:
     from ..streaming import replication
 
@@ -508,9 +524,28 @@ def blob_ranges(c: Context) -> DataFrame:
     return spatial.blob_ranges(c.view("v_blobs")).select("kind", "first_id", "next_id")
 
 
-@query()
+_MOVED = "(select id, first_node, case when id % 10 = 0 then last_node + 1 else last_node end as last_node from {v_ends} join {v_ways} using (id) where natural_tag = 'coastline' and n_nodes >= 2)"
+
+
+@query(f"""select node_id as osm_id, state from (select node_id, cast(list_reduce(list(ev order by id), lambda s, e: case when e = 0 then 0 else greatest(least(s + e, 1), -1) end, 0) as int) as state
+ from (select first_node as node_id, id, case when first_node = last_node then 0 else 1 end as ev from {_MOVED} union all select last_node, id, -1 from {_MOVED} where first_node <> last_node) group by node_id) where state <> 0""")
 def stream_incremental_issues(c: Context) -> DataFrame:
     from ..streaming import loop
 
     return loop.replayed_issues(c)
 
+
+_PLACES = "{v_nodes} n on n.id = x.node_id"
+
+
+@query(f"""select x.rel_id, x.node_id, n.lat, n.lon from (select rel_id, ref as node_id from (select * from {{v_members}} union all select * from {{v_centres}}) where type = 'N' and rel_id in (select id from {{v_relations}})
+ union select m.rel_id, w.node_id from (select * from {{v_members}} union all select * from {{v_centres}}) m join {{v_way_nodes}} w on w.way_id = m.ref where m.type = 'W' and m.rel_id in (select id from {{v_relations}}) and m.ref in (select id from {{v_ways}})) x join {_PLACES}""")
+def relation_coordinates(c: Context) -> DataFrame:
+    return elements.relation_coordinates(elements.relation_members(c.relations), c.ways, c.nodes)
+
+
+@query("""select osm_type, osm_id, 'https://www.openstreetmap.org/' || case osm_type when 'N' then 'node' when 'W' then 'way' else 'relation' end || '/' || osm_id as page,
+ case when osm_type = 'R' then 'http://ra.osmsurround.org/analyzeRelation?relationId=' || osm_id end as analyzer,
+ 'http://localhost:8111/load_object?new_layer=true&objects=' || lower(osm_type) || osm_id || '&relation_members=true' as editor from (select distinct osm_type, osm_id from {v_issues})""")
+def issue_links(c: Context) -> DataFrame:
+    return issues.links(c.view("v_issues").select("osm_type", "osm_id").distinct())
