@@ -101,3 +101,56 @@ def test_snapshots(spark, tmp_path):
     assert s.commit(1, {"t": s.table("t").where("id > 0")}, {"seq": 2})
     assert not s.commit(1, {"t": spark.range(9)})
     assert s.table("t").count() == 2 and s.progress() == {"seq": 2}
+
+
+def test_kept_index(spark, pbf_file, tmp_path):
+    """The index is made once; with it, only the blobs of a kind that can hold the ids are read."""
+    pbf.register(spark)
+    assert pbf.latest_base(spark, str(tmp_path)) is None
+    index = pbf.build_index(spark, pbf_file)
+    assert [(r.kind, r.first_id) for r in index.orderBy("offset").collect()] == [("N", 10), ("W", 7), ("R", 3)]
+    assert pbf.max_blob_bytes(index) > 0 and pbf.max_blob_bytes(index.limit(0)) == 0
+    assert sorted(r.id for r in pbf.load(spark, pbf_file, "N", index).collect()) == [10, 12, 15]
+    assert [r.id for r in pbf.load(spark, pbf_file, "N", index, ids=[12, 99]).collect()] == [12]
+    assert pbf.load(spark, pbf_file, "W", index, ids=[1]).count() == 0
+    blobs = pbf.load(spark, pbf_file, "R", index)
+    assert {r.id for r in blobs.collect()} == {3, 4}
+    # what is kept is taken as it is, unless asked not to
+    spark.createDataFrame([("N", 1, 5, 6)], pbf.INDEX).write.mode("overwrite").parquet(f"{pbf_file}.index")
+    assert pbf.build_index(spark, pbf_file).count() == 1 and pbf.build_index(spark, pbf_file, ignore_cache=True).count() == 3
+    for name in ("planet-240101.osm.pbf", "planet-240201.osm.pbf", "other.pbf"):
+        (tmp_path / name).write_bytes(b"")
+    assert pbf.latest_base(spark, str(tmp_path)).endswith("planet-240201.osm.pbf")
+
+
+def test_metadata(spark, tmp_path):
+    table = f(1, f(1, b""))
+    info = f(1, vi(3) + vi(4)) + f(2, delta([1_700_000_000, 1_700_000_060]))
+    dense = f(1, delta([5, 6])) + f(5, info) + f(8, delta([10, 20])) + f(9, delta([30, 40])) + f(10, vi(0) + vi(0))
+    path = tmp_path / "m.pbf"
+    path.write_bytes(blob("OSMData", table + f(2, f(2, dense))))
+    pbf.register(spark)
+    rows = spark.read.format("mappbf").options(kind="N", metadata="true").load(str(path)).collect()
+    assert [(r.id, r.version, r.ts) for r in rows] == [(5, 3, 1_700_000_000), (6, 4, 1_700_000_060)]
+    assert pbf.data_timestamp(str(path), pbf.build_index(spark, str(path))) == 1_700_000_060
+
+
+def test_cached_changes(spark, tmp_path):
+    """A file comes through the cache, past it if what is kept there can't be read; one that isn't there is None."""
+    text = "<osmChange><create><node id='1' version='1' lat='1' lon='2'/></create></osmChange>"
+    source, cache = tmp_path / "source" / "000" / "000", tmp_path / "cache"
+    source.mkdir(parents=True)
+    with gzip.open(source / "007.osc.gz", "wt") as g:
+        g.write(text)
+    read = lambda path, **o: osc.read_cached(spark, str(tmp_path / "source"), str(cache), 60, path, wait_s=0, **o)
+    assert [r.id for r in read("000/000/007.osc.gz").collect()] == [1]
+    kept = cache / "60" / "000" / "000" / "007.osc.gz"
+    assert kept.exists() and read("000/000/008.osc.gz") is None
+    kept.write_bytes(b"broken")
+    (kept.parent / ".007.osc.gz.crc").unlink(missing_ok=True)
+    assert [r.id for r in read("000/000/007.osc.gz").collect()] == [1]
+    (source / "007.osc.gz").write_bytes(b"broken too")
+    kept.unlink()
+    (kept.parent / ".007.osc.gz.crc").unlink(missing_ok=True)
+    with pytest.raises(Exception, match="osc|change|gz|header|Malformed"):
+        read("000/000/007.osc.gz", tries=2)
