@@ -154,3 +154,25 @@ def test_cached_changes(spark, tmp_path):
     (kept.parent / ".007.osc.gz.crc").unlink(missing_ok=True)
     with pytest.raises(Exception, match="osc|change|gz|header|Malformed"):
         read("000/000/007.osc.gz", tries=2)
+
+
+def test_filters_of_a_scan(spark, pbf_file):
+    from tidewarden.functions import filters as fl
+
+    pbf.register(spark)
+    named, coast = fl.ElementFilter("N", (fl.TagFilter("name"),)), fl.ElementFilter("N", (fl.TagFilter("natural", ("coastline",)), fl.TagFilter("name", ("x",))))
+    areas = fl.ElementFilter("R", (fl.TagFilter("boundary", ("administrative",)), fl.TagFilter("type", ("boundary",))))
+    ids = lambda kind, *chosen: sorted(r.id for r in pbf.load_filtered(spark, pbf_file, kind, list(chosen)).collect())
+    assert fl.merged_tags([named, coast]) == {"N": {"name": ("x",), "natural": ("coastline",)}}
+    assert ids("N", named, coast, fl.COASTLINE) == [10, 15] and ids("N", coast) == [15] and ids("N", fl.COASTLINE) == []
+    assert ids("W", fl.COASTLINE, named) == [7]
+    assert ids("R", areas) == [3] and ids("R", areas, fl.ElementFilter("R", (fl.TagFilter("boundary"),))) == [3, 4]
+
+
+def test_stale(spark):
+    from pyspark.sql import functions as F
+
+    from tidewarden.functions import scalars
+
+    ts = lambda x: F.lit(f"2024-01-01 00:{x}:00").cast("timestamp")
+    assert spark.range(1).select(scalars.is_stale(ts("00"), ts("11")), scalars.is_stale(ts("00"), ts("09"))).first()[:] == (True, False)

@@ -17,6 +17,8 @@ from __future__ import annotations
 import json
 import struct
 import zlib
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions import filters
 from ..schemas import NODES, RELATIONS, WAYS
 
 _KINDS = ("N", "W", "R")
@@ -294,6 +297,19 @@ def load(spark: SparkSession, path: str, kind: str, index: DataFrame | None = No
     return reader.load(path)
 
 
+def load_filtered(spark: SparkSession, path: str, kind: str, chosen: list[filters.ElementFilter], index: DataFrame | None = None) -> DataFrame:
+    """Elements of a kind that any of the filters takes, in one scan: it gets the keys and values of all, united, and
+    each filter is applied to what passes."""
+    own = [f for f in chosen if f.kind == kind and f.tags]
+    if not own:
+        return load(spark, path, kind, index).limit(0)
+    tags = filters.merged_tags(own)[kind]
+    # a key that some filter wants with any value is wanted with any; relations need all keys, so only those of one filter
+    bare = {t.key for f in own for t in f.tags if not t.values}
+    push = {"tags": json.dumps({k: [] if k in bare else list(v) for k, v in tags.items()})} if kind != "R" or len(own) == 1 else {}
+    return load(spark, path, kind, index, **push).where(reduce(or_, [f.scan(F.col("tags")) for f in own]))
+
+
 def latest_base(spark: SparkSession, folder: str, pattern: str = "planet-*.osm.pbf") -> str | None:
     """The last file of a folder by name, None where there is none."""
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
