@@ -21,29 +21,31 @@ def role_reason(members: DataFrame) -> DataFrame:
 def polygons(relations: DataFrame, ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, reason, rings): assembled areas; rings are [polygon number, hole?, points] of sound ones.
 
-    One relation's members are gathered; only these go to Python."""
+    The rules on roles are columns; coordinates are fetched for the relations that pass them, whose ways go
+    to Python as arrays, one relation's together."""
     m = elements.relation_members(relations)
-    coords = elements.way_coordinates(ways.join(m.where("type = 'W'").select(F.col("ref").alias("id")).distinct(), "id", "left_semi"), nodes)
-    j = m.join(coords.withColumnRenamed("id", "ref").withColumn("known", F.lit(True)), "ref", "left")
-    g = j.groupBy("rel_id").agg(F.sort_array(F.collect_list(F.struct("pos", "type", "role", "ref", F.col("coords"), F.col("missing"), F.coalesce("known", F.lit(False)).alias("known")))).alias("m"))
-    g = relations.select(F.col("id").alias("rel_id")).join(g, "rel_id", "left")
+    none = relations.where(F.size("members") <= 0).select(F.col("id").alias("rel_id"), F.lit("Missing ways").alias("reason"))
+    roles = role_reason(m).unionByName(none)
+    used = m.where((F.col("type") == "W") & F.col("role").isin("outer", "inner")).join(roles.where("reason is null").select("rel_id"), "rel_id", "left_semi")
+    coords = elements.way_coordinates(ways.join(used.select(F.col("ref").alias("id")).distinct(), "id", "left_semi"), nodes)
+    grid = lambda axis: F.transform("coords", lambda p: F.rint(p[axis] * geometry.SCALE).cast("long"))
+    coords = coords.select(F.col("id").alias("ref"), grid("x").alias("x"), grid("y").alias("y"), "missing", F.lit(True).alias("known"))
+    parts = F.struct("pos", "role", "ref", "x", "y", "missing", F.coalesce("known", F.lit(False)).alias("known"))
+    g = used.join(coords, "ref", "left").groupBy("rel_id").agg(F.sort_array(F.collect_list(parts)).alias("m"))
 
     def build(batches):
         for pdf in batches:
             rows = []
             for rel, members in zip(pdf.rel_id, pdf.m, strict=True):
-                members = [] if members is None else list(members)
-                used = [x for x in members if x["type"] == "W" and x["role"] in ("outer", "inner", "")]
-                gap = next((f"Missing way {x['ref']}" for x in used if not x["known"]), None) or next((f"Missing node {int(x['missing'])}" for x in used if not pd.isna(x["missing"])), None)
-                parts = [(x["type"], x["role"], geometry.to_grid([(p["x"], p["y"]) for p in x["coords"]]) if x["coords"] is not None and not gap else []) for x in members]
-                reason, polys = geometry.build_polygon(parts)
-                if gap and reason not in ("Missing ways", "Member without role", "No outer ways found"):
-                    reason, polys = gap, []
+                gap = next((f"Missing way {x['ref']}" for x in members if not x["known"]), None) or next((f"Missing node {int(x['missing'])}" for x in members if not pd.isna(x["missing"])), None)
+                reason, polys = (gap, []) if gap else geometry.build_polygon([("W", x["role"], list(zip(x["x"].tolist(), x["y"].tolist(), strict=True))) for x in members])
                 rings = [{"polygon": k, "hole": h > 0, "points": [{"x": p[0], "y": p[1]} for p in r]} for k, (s, holes) in enumerate(polys) for h, r in enumerate((s, *holes))]
                 rows.append((rel, reason, rings if reason is None else None))
             yield pd.DataFrame(rows, columns=["id", "reason", "rings"])
 
-    return g.mapInPandas(build, "id long, reason string, rings array<struct<polygon:int,hole:boolean,points:array<struct<x:long,y:long>>>>")
+    schema = "id long, reason string, rings array<struct<polygon:int,hole:boolean,points:array<struct<x:long,y:long>>>>"
+    rest = roles.where("reason is not null").select(F.col("rel_id").alias("id"), "reason", F.lit(None).cast("array<struct<polygon:int,hole:boolean,points:array<struct<x:long,y:long>>>>").alias("rings"))
+    return g.mapInPandas(build, schema).unionByName(rest)
 
 
 def centre_reason(members: DataFrame, nodes: DataFrame) -> DataFrame:
