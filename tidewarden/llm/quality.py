@@ -177,18 +177,21 @@ def _starts(rows: DataFrame, first: DataFrame) -> DataFrame:
     """Parameters by cell and start: those given, and scatters about the same medians from signs, tangents and the inner half."""
     scaled = rows.join(first, "cell").select("cell", *[((F.col(f"q_z{i}") - F.col(f"m{i}")) / F.col(f"l{i}{i}")).alias(f"y{i}") for i in range(DIMS)])
     norm = F.sqrt(sum((F.col(f"y{i}") ** 2 for i in range(DIMS)), F.lit(1e-12)))
-    out = first.withColumn("start", F.lit(0))
+    pairs = [(i, j) for i in range(DIMS) for j in range(i + 1)]
+    scores = []
     for k, of in enumerate((lambda y: y / norm, F.tanh), 1):
-        sums = scaled.groupBy("cell").agg(F.count("*").alias("n"), *_sums([of(F.col(f"y{i}")) for i in range(DIMS)])).join(first, "cell")
-        # a correlation of bounded scores, scaled back; a small share of the identity keeps it regular
-        r = {(i, j): F.col(f"s{i}{j}") / F.col("n") for i in range(DIMS) for j in range(i + 1)}
-        d = [F.sqrt(r[i, i] + 1e-6) for i in range(DIMS)]
-        cov = {(i, j): F.col(f"d{i}") * F.col(f"d{j}") * (0.95 * r[i, j] / (d[i] * d[j]) + (0.05 if i == j else 0.0)) for i, j in r}
-        one = sums.withColumns({f"d{i}": F.col(f"l{i}{i}") for i in range(DIMS)}).drop(*[f"l{i}{j}" for i in range(DIMS) for j in range(i + 1)])
-        for name, x in _cholesky(cov):
-            one = one.withColumn(name, x)
-        out = out.unionByName(one.select("cell", *NAMES, F.lit(k).alias("start")))
-    return out.unionByName(_concentrate(rows, first, 0.5).withColumn("start", F.lit(3)))
+        scores.append(scaled.groupBy("cell").agg(F.count("*").alias("n"), *_sums([of(F.col(f"y{i}")) for i in range(DIMS)])).withColumn("start", F.lit(k)))
+    # correlations of bounded scores; a small share of the identity keeps them regular
+    r = {(i, j): F.col(f"s{i}{j}") / F.col("n") for i, j in pairs}
+    d = [F.sqrt(r[i, i] + 1e-6) for i in range(DIMS)]
+    both = scores[0].unionByName(scores[1]).select("cell", "start", *[(0.95 * r[i, j] / (d[i] * d[j]) + (0.05 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in pairs])
+    # written first: their roots in one expression with the sums are too much code
+    both = checkpoint(both).join(first.select("cell", *[f"m{i}" for i in range(DIMS)], *[F.col(f"l{i}{i}").alias(f"d{i}") for i in range(DIMS)]), "cell")
+    for name, x in _cholesky({(i, j): F.col(f"c{i}{j}") for i, j in pairs}):
+        both = both.withColumn(name, x)
+    # back in the scales of the statistics
+    both = both.select("cell", "start", *[f"m{i}" for i in range(DIMS)], *[(F.col(f"d{i}") * F.col(f"l{i}{j}")).alias(f"l{i}{j}") for i, j in pairs])
+    return first.withColumn("start", F.lit(0)).unionByName(both).unionByName(_concentrate(rows, first, 0.5).withColumn("start", F.lit(3)))
 
 
 def _concentrate(rows: DataFrame, params: DataFrame, h: float) -> DataFrame:
@@ -221,8 +224,9 @@ def least_determinant(rows: DataFrame, h: float, trial_steps: int = 2, best: int
     params = checkpoint(_best(params, best), params)
     while True:
         # a start whose step doesn't lower its determinant is left as it is
-        new = _concentrate(rows, params, h).withColumn("after", _log_det()).join(params.select("cell", "start", _log_det().alias("before")), ["cell", "start"])
-        new = checkpoint(new.where(F.col("after") < F.col("before") - settled).drop("after", "before"))
+        step = checkpoint(_concentrate(rows, params, h))
+        both = step.withColumn("after", _log_det()).join(params.select("cell", "start", _log_det().alias("before")), ["cell", "start"])
+        new = checkpoint(both.where(F.col("after") < F.col("before") - settled).select(*step.columns), step)
         if new.isEmpty():
             return checkpoint(_best(params, 1).drop("start"), params, new)
         params = checkpoint(params.join(new.select("cell", "start"), ["cell", "start"], "left_anti").unionByName(new), params, new)
