@@ -52,14 +52,32 @@ class Vocabulary:
             order = np.argsort(keys)
             self.tables.append((keys[order], np.array(own, np.int64)[order]))
 
-    def find(self, h: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
-        """Piece numbers of the spans of one size, -1 where there is none."""
+    def marks(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a piece of that size has some first and last byte, and some low bits of its hash."""
+        known = self.__dict__.setdefault("_marks", {})
+        if size not in known:
+            keys, own = self.tables[size - 1]
+            ends, low = np.zeros((256, 256), dtype=bool), np.zeros(1 << 16, dtype=bool)
+            ends[[self.pieces[k][0] for k in own], [self.pieces[k][-1] for k in own]] = True
+            low[(keys & V.U64(0xFFFF)).astype(np.int64)] = True
+            known[size] = ends, low
+        return known[size]
+
+    def find(self, h: np.ndarray, start: np.ndarray, size: int, buf: np.ndarray | None = None) -> np.ndarray:
+        """Piece numbers of the spans of one size, -1 where there is none; with the bytes, few spans are looked up."""
         keys, own = self.tables[size - 1]
+        out = np.full(len(start), -1, np.int64)
         if not len(keys):
-            return np.full(len(start), -1, np.int64)
-        got = V.spans(h, start, start + size)
+            return out
+        ends, low = self.marks(size)
+        k = np.arange(len(start)) if buf is None else np.flatnonzero(ends[buf[start], buf[start + size - 1]])
+        got = V.spans(h, start[k], start[k] + size)
+        some = np.flatnonzero(low[(got & V.U64(0xFFFF)).astype(np.int64)])
+        k, got = k[some], got[some]
         at = np.minimum(np.searchsorted(keys, got), len(keys) - 1)
-        return np.where(keys[at] == got, own[at], -1)
+        hit = keys[at] == got
+        out[k[hit]] = own[at[hit]]
+        return out
 
 
 def spaced_words(buf: np.ndarray, off: np.ndarray):
@@ -74,28 +92,48 @@ def spaced_words(buf: np.ndarray, off: np.ndarray):
     return out, starts, ends, inverse, rows
 
 
+#: Bytes of words whose sums stay within doubles, and the factor a byte that keeps them there.
+SHORT, LIFT = 48, 2.5
+
+
 def forward(vocab: Vocabulary, logp: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Log likelihood of each word for each language (columns of ``logp``)."""
-    n, k = len(starts), logp.shape[1]
+    """Log likelihood of each word for each language (columns of ``logp``).
+
+    Short words by plain sums, each byte lifted by a constant; long ones, and those whose sum is 0, by logarithms."""
+    out = np.zeros((len(starts), logp.shape[1]))
+    size = ends - starts
+    short = np.flatnonzero(size <= SHORT)
+    if len(short):
+        lifted = np.exp(logp + LIFT * np.array([len(p) for p in vocab.pieces])[:, None])
+        got = _sums(vocab, lifted, buf, starts[short], size[short], False)
+        with np.errstate(divide="ignore"):
+            out[short] = np.log(got) - LIFT * size[short][:, None]
+    long = np.flatnonzero((size > SHORT) | ~np.isfinite(out).all(axis=1))
+    if len(long):
+        out[long] = _sums(vocab, logp, buf, starts[long], size[long], True)
+    return out
+
+
+def _sums(vocab: Vocabulary, weight: np.ndarray, buf: np.ndarray, starts: np.ndarray, size: np.ndarray, logs: bool) -> np.ndarray:
+    """The forward algorithm over all words at once, in logarithms or not."""
+    n, k = len(starts), weight.shape[1]
     out = np.zeros((n, k))
-    if not n:
-        return out
     h = V.prefix(buf)
-    size = ends - starts
     order = np.argsort(-size, kind="stable")  # words of at least t bytes come first
     starts, size = starts[order], size[order]
     longest = len(vocab.tables)
-    ring = np.full((longest + 1, n, k), -np.inf)
-    ring[0] = 0.0
+    ring = np.full((longest + 1, n, k), -np.inf if logs else 0.0)
+    ring[0] = 0.0 if logs else 1.0
     live = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right")
     for t in range(1, int(size[0]) + 1):
         m = int(live[t - 1])
-        got = np.full((m, k), -np.inf)
+        got = np.full((m, k), -np.inf if logs else 0.0)
         for length in range(1, min(longest, t) + 1):
-            piece = vocab.find(h, starts[:m] + (t - length), length)
+            piece = vocab.find(h, starts[:m] + (t - length), length, buf)
             hit = np.flatnonzero(piece >= 0)
             if len(hit):
-                got[hit] = np.logaddexp(got[hit], ring[(t - length) % (longest + 1)][hit] + logp[piece[hit]])
+                before, own = ring[(t - length) % (longest + 1)][hit], weight[piece[hit]]
+                got[hit] = np.logaddexp(got[hit], before + own) if logs else got[hit] + before * own
         ring[t % (longest + 1)][:m] = got
         ends_here = slice(int(live[t]) if t < len(live) else 0, m)
         out[order[ends_here]] = got[ends_here]
@@ -122,7 +160,7 @@ def backward_counts(vocab: Vocabulary, p: np.ndarray, buf, starts, ends, weight)
         for t in range(1, top + 1):
             rows = np.flatnonzero(n >= t)
             for length in range(1, min(longest, t) + 1):
-                piece = vocab.find(h, s[rows] + (t - length), length)
+                piece = vocab.find(h, s[rows] + (t - length), length, buf)
                 hit = piece >= 0
                 r, q = rows[hit], piece[hit]
                 if len(r):
