@@ -25,3 +25,7 @@ def test_tracker_edges_gather_nothing_and_are_dealt_by_rows(spark, small, monkey
     df = registry.QUERIES["tracker_edges"](spark, small)
     assert "collect_list" not in _plan(df) and "REPARTITION_BY_NUM" in _plan(df)
     assert sorted(tuple(r) for r in df.collect()) == before
+
+
+def test_relation_coordinates_gather_nothing(spark, small):
+    assert "collect_list" not in _plan(registry.QUERIES["relation_coordinates"](spark, small))
